@@ -45,7 +45,9 @@ _EMAIL = regex.compile(
     rf"(?P<local>[\p{{Latin}}\d](?:[\p{{Latin}}\d._%+'-]*[\p{{Latin}}\d_])?)(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+|\s(?:at|arobase)\s{_LABEL}(?:\s(?:dot|point)\s{_LABEL})+)",
     regex.I,
 )
-_PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}|\(\d{1,4}\)|\d+)(?:[ \xa0  .‑–/-]?(?:\(\d{1,4}\)|(?:(?<=\))[ ]?)?\d+)){0,8}(?![\p{Latin}\d])")
+# possessive, so that long runs of digits are read once
+_PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}+|\(\d{1,4}\)|\d++)(?:[ \xa0  .‑–/-]?(?:\(\d{1,4}\)|\d++|(?<=\)) \d++))*+(?![\p{Latin}\d])")
+_SPELLED = regex.compile(r"[(\[{]\s?(?:at|arobase)|\s(?:dot|point)\s", regex.I)
 _NINE = regex.compile(r"(?<![\p{Latin}\d.‑/+-])\d{3}([ \xa0  ‑.-]?)\d{3}\1\d{3}(?![\p{Latin}\d])")
 _PASS = regex.compile(r"(?<![\p{Latin}\d-])\p{Latin}{1,2}[ \xa0]?\d{6,8}(?![\p{Latin}\d])")
 _NUM = r"\d{1,5}(?:½|[ \xa0]?(?:bis|ter|quater)\b|[A-Za-z]\b)?"
@@ -73,6 +75,9 @@ _ADDRESS = [
 ]
 
 
+_ADDRESS_WORDS = {"en": STREETS_EN, "fr": STREETS_FR, "de": STREETS_DE, "ru": STREETS_RU, "es": STREETS_ES, "zh": ("号", "號")}
+
+
 def _fold(s: str) -> str:
     return unicodedata.normalize("NFC", s).casefold()
 
@@ -114,7 +119,7 @@ def _groups(s: str) -> str:
 
 def candidates(text: str, given: frozenset[str]) -> Iterator[Candidate]:
     """Every span that may be a mention; spans overlap freely."""
-    for m in _EMAIL.finditer(text):
+    for m in _EMAIL.finditer(text) if "@" in text or "＠" in text or _SPELLED.search(text) else ():
         yield Candidate("email", m.start(), m.end(), _around(text, m.start(), m.end()) | {"sign" if "@" in m[0] else "spelled", "domain=" + str(len(regex.findall(_DOT, m[0][len(m["local"]) :])))})
     for m in _PHONE.finditer(text):
         cuts = [m.start()] + [m.start() + g.start() for g in regex.finditer(r"(?<=[ \xa0  ])[\d(+]", m[0])][:2]
@@ -131,7 +136,10 @@ def candidates(text: str, given: frozenset[str]) -> Iterator[Candidate]:
         if any(w in before for w in PASSPORT):
             f.add("passport")
         yield Candidate("id_number", m.start(), m.end(), f | {"letters", f"digits={sum(c.isdigit() for c in m[0])}"})
+    low = text.lower()
     for lang, rx in _ADDRESS:
+        if not any(w in low for w in _ADDRESS_WORDS[lang]):
+            continue
         for m in rx.finditer(text, overlapped=True):
             yield Candidate("address", m.start(), m.end(), _around(text, m.start(), m.end()) | {f"form={lang}", f"house={len(regex.sub(r'[^0-9]', '', m['num']))}", "shape=" + "".join(_shape(w) for w in regex.findall(r"\p{L}+", m[0]))[:6]})
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
