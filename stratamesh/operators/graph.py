@@ -57,21 +57,29 @@ def tree_walk(links: DataFrame, node: str, parent: str, start: DataFrame, up: bo
         seen, front = cut(seen.unionByName(nxt)), nxt
 
 
-def join_components(nodes: DataFrame, edges: DataFrame, *, node: str, lon: str, lat: str, candidates: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Boruvka: edges (u, v, km) that join the components of a graph by their closest pairs, ties by (km, u, v).
-    ``candidates`` holds the possible pairs u < v with ``km`` (see ``spatial.near_pairs``); each round every component takes
-    its least pair to another one."""
-    comp = connected_components(nodes, edges, node)
-    taken = None
-    cand = cut(candidates)
-    for _ in range(max_rounds):
-        c = comp.select(F.col(node).alias("u"), F.col("component").alias("cu"))
-        p = cand.join(c, "u").join(c.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v").where("cu <> cv")
-        both = p.select("cu", "km", "u", "v").unionByName(p.select(F.col("cv").alias("cu"), "km", "u", "v"))
-        best = cut(both.groupBy("cu").agg(F.min(F.struct("km", "u", "v")).alias("b")).select("b.*").distinct())
-        if not best.limit(1).count():
-            break
-        taken = best if taken is None else taken.unionByName(best)
-        comp = cut(connected_components(nodes, edges.select("u", "v").unionByName(taken.select("u", "v")), node))
-    empty = candidates.where(F.lit(False))
-    return (taken if taken is not None else empty).select("u", "v", "km")
+def join_components(nodes: DataFrame, edges: DataFrame, *, node: str, candidates: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Edges (u, v, km) that join the components of a graph by their closest pairs, ties by (km, u, v): the least
+    spanning forest over the pairs of components. ``candidates`` holds the possible pairs u < v with ``km`` (see
+    ``spatial.near_pairs``). The least candidate of each pair of components is found by a grouped minimum; those, at
+    most ``limit`` of them (else an error), are linked on the driver."""
+    c = connected_components(nodes, edges, node).select(F.col(node).alias("u"), F.col("component").alias("cu"))
+    p = candidates.join(c, "u").join(c.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v").where("cu <> cv")
+    least = p.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min(F.struct("km", "u", "v")).alias("m"))
+    rows = least.select("a", "b", "m.*").orderBy("km", "u", "v").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} pairs of components")
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    kept = []
+    for r in rows:
+        x, y = find(r["a"]), find(r["b"])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((r["u"], r["v"], r["km"]))
+    return nodes.sparkSession.createDataFrame(kept, candidates.select("u", "v", "km").schema)
