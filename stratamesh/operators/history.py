@@ -170,7 +170,8 @@ def build_history(
     day = F.datediff("d", F.lit("1970-01-01"))
     cuts = mine.groupBy("e").agg(F.percentile_approx(day, [i / parts for i in range(1, parts)], 10_000).alias("c"))
     runs = grouped(mine.join(cuts, "e").withColumn("run", F.size(F.filter("c", lambda c: c <= day))), "e", "run")
-    kept = _state(F.lit(True), [F.lit(_KEPT)] * n)
+    # nullable and not foldable: the fold's type comes from its start
+    kept = _state(F.lit(True), [F.when(F.size("a") >= 0, _KEPT)] * n)
     effect = runs.select("e", "run", _last_state(F.col("a"), off, n).alias("off"), _last_state(F.col("a"), kept, n).alias("on"))
 
     def enter(acc: Column, x: Column) -> Column:
