@@ -63,7 +63,7 @@ def xml_escape(text: Column) -> Column:
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, as bigint."""
     digits = F.hex(F.encode(text, "utf-8"))
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(digits) / 2), lambda i: F.conv(F.substr(digits, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
+    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substr(digits, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
     step = lambda h, b: ((h.bitwiseXOR(b)).cast("decimal(38,0)") * F.lit(16777619).cast("decimal(10,0)") % F.lit(4294967296).cast("decimal(10,0)")).cast("bigint")
     return F.when(F.length(text) > 0, F.aggregate(bytes_, F.lit(2166136261).cast("bigint"), step)).otherwise(F.when(text.isNotNull(), F.lit(2166136261).cast("bigint")))
 
