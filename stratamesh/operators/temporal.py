@@ -69,8 +69,7 @@ def carried(facts: DataFrame, probes: DataFrame, *, at: str, value: str, keys: l
 def interval_overlaps(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str]) -> DataFrame:
     """Pairs of equal ``keys`` whose half-open intervals meet, with their common part as [since, until)."""
     end = lambda c: F.coalesce(F.col(c), F.lit(OPEN))
-    j = left.join(right, keys) if keys else left.crossJoin(right)
-    j = j.withColumn("since", F.greatest(l[0], r[0])).withColumn("until", F.least(end(l[1]), end(r[1])))
+    j = left.join(right, keys).withColumn("since", F.greatest(l[0], r[0])).withColumn("until", F.least(end(l[1]), end(r[1])))
     return j.where("since < until").withColumn("until", F.when(F.col("until") < OPEN, F.col("until")))
 
 

@@ -87,7 +87,7 @@ def markdown_rows(lines: DataFrame, line: str = "value") -> DataFrame:
     """Cells of the rows of Markdown tables, rules and heads left out by the caller: ``cells`` array<string>."""
     t = F.trim(line)
     rows = lines.where(t.startswith("|") & ~t.rlike(r"^\|[\s:|-]+\|$"))
-    return rows.select(F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), F.trim).alias("cells"))
+    return rows.select(F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
