@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 _BLANK = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
+# a whole member with a scalar value that needs no unescaping, up to the comma or brace behind it
+_MEMBER = re.compile(r'"([^"\\\x00-\x1f]*)"[ \t\n\r]*:[ \t\n\r]*(?:"([^"\\\x00-\x1f]*)"|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))[ \t\n\r]*([,}])', re.A)
 _AROUND = " \t\n\r\x0b\x0c\x85\xa0  ﻿"
 
 
@@ -43,7 +45,7 @@ def triples(text: str, repeated: frozenset[str], wanted: re.Pattern[str] | None
     ords: list[int] = []
     # a frame: [is list, path, counts an ordinal, place in the list]
     stack: list[list] = []
-    blank, n, i = _BLANK.match, len(s), 0
+    blank, member, n, i = _BLANK.match, _MEMBER.match, len(s), 0
     path, state = "", "value"
 
     def emit(p: str, kind: str, value: str | None) -> None:
@@ -102,6 +104,19 @@ def triples(text: str, repeated: frozenset[str], wanted: re.Pattern[str] | None
             if state == "first":
                 state = "close" if c == "}" else "key"
             if state == "key":
+                m = member(s, i)
+                if m:
+                    key, value, bare, ended = m.groups()
+                    if bare != "null":
+                        at = (top[1], key)
+                        p = names.get(at) or names.setdefault(at, f"{top[1]}.{_escape(key)}")
+                        k = keep.get(p)
+                        if k is None or k:
+                            emit(p, "string" if bare is None else "boolean" if bare in ("true", "false") else "number", value if bare is None else bare)
+                    i = m.end()
+                    if ended == "}":
+                        i, state = i - 1, "close"
+                    continue
                 if c != '"':
                     raise Broken
                 key, i = scanstring(s, i + 1, True)
