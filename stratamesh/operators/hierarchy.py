@@ -70,20 +70,20 @@ def nested_sets(links: DataFrame, *, with_path: bool = False) -> DataFrame:
     Defined results: an empty table gives none; null nodes are left out; a node that is its own parent is a loop.
     """
     sized, rounds = _subtree_sizes(links.where("node IS NOT NULL"))
-    sized = cut(sized)
     here = [F.array(F.col("node")).alias("path")] if with_path else []
     roots = sized.where("parent IS NULL").select("node", F.lit(None).cast(links.schema["parent"].dataType).alias("up"), F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("depth"), F.col("node").alias("root"), "n", *here)
     below = _sibling_offsets(sized).select("node", F.col("parent").alias("up"), F.col("off").cast("bigint").alias("lo"), F.lit(1).cast("bigint").alias("depth"), F.col("parent").alias("root"), "n", *here)
-    s = cut(roots.unionByName(below))
+    # only nodes that have not reached their root are written again
+    s, act = cut(roots), cut(below)
     for _ in range(rounds + 1):
-        if not s.where("up IS NOT NULL").limit(1).count():
+        if not act.limit(1).count():
             break
-        u = s.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("lo").alias("lo2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), *([F.col("path").alias("path2")] if with_path else []))
-        moved = s.where("up IS NOT NULL").join(u, "up").select(
+        u = s.unionByName(act).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("lo").alias("lo2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), *([F.col("path").alias("path2")] if with_path else []))
+        moved = cut(act.join(u, "up").select(
             "node", F.col("up2").alias("up"), (F.col("lo") + F.col("lo2")).alias("lo"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), "n",
             *([F.concat("path2", "path").alias("path")] if with_path else []),
-        )
-        s = cut(moved.unionByName(s.where("up IS NULL")))
+        ))
+        s, act = s.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
     done = s.select("node", "root", "depth", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"), (F.col("n") - 1).alias("n_below"), *(["path"] if with_path else []))
     gone = F.lit(-1).cast("bigint")
     loose = sized.where("loose").select("node", F.lit(None).cast(links.schema["node"].dataType).alias("root"), gone.alias("depth"), gone.alias("lo"), gone.alias("hi"), gone.alias("n_below"), *([F.lit(None).cast(f"array<{links.schema['node'].dataType.simpleString()}>").alias("path")] if with_path else []))
