@@ -45,8 +45,8 @@ _EMAIL = regex.compile(
     rf"(?P<local>[\p{{Latin}}\d](?:[\p{{Latin}}\d._%+'-]*[\p{{Latin}}\d_])?)(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+|\s(?:at|arobase)\s{_LABEL}(?:\s(?:dot|point)\s{_LABEL})+)",
     regex.I,
 )
-# possessive, so that long runs of digits are read once
-_PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}+|\(\d{1,4}\)|\d++)(?:[ \xa0  .‑–/-]?(?:\(\d{1,4}\)|\d++|(?<=\)) \d++))*+(?![\p{Latin}\d])")
+# digit runs are possessive, so that long ones are read once; whole groups at the end are given back where a letter follows
+_PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}+|\(\d{1,4}\)|\d++)(?:[ \xa0  .‑–/-]?(?:\(\d{1,4}\)|\d++|(?<=\)) \d++))*(?![\p{Latin}\d])")
 _SPELLED = regex.compile(r"[(\[{]\s?(?:at|arobase)|\s(?:dot|point)\s", regex.I)
 _NINE = regex.compile(r"(?<![\p{Latin}\d.‑/+-])\d{3}([ \xa0  ‑.-]?)\d{3}\1\d{3}(?![\p{Latin}\d])")
 _PASS = regex.compile(r"(?<![\p{Latin}\d-])\p{Latin}{1,2}[ \xa0]?\d{6,8}(?![\p{Latin}\d])")

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,25 @@ def test_cases(detector, text, want):
     assert {(k, text[a:b]) for k, a, b in detector.mentions([text])[0]} == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Call 418-555-1234 2nd floor", ["418-555-1234"]),
+        ("+1 418 555 1234 12th May", ["+1 418 555 1234"]),
+        ("418-555-1234 12B Main Street", ["418-555-1234"]),
+    ],
+)
+def test_phone_before_a_number_that_touches_a_letter(detector, text, want):
+    assert [text[a:b] for k, a, b in detector.mentions([text])[0] if k == "phone"] == want
+
+
+def test_long_runs_of_digits_are_read_once():
+    t = time.perf_counter()
+    for text in ("1" * 200_000 + "a", "12 " * 60_000 + "12a", "12-" * 60_000 + "1a"):
+        list(pii._PHONE.finditer(text))
+    assert time.perf_counter() - t < 10
+
+
 def test_frames(spark, detector):
     long = "The council moved the map. " * 20000 + "Call 418-555-0101 after eight."
     rows = [(1, "Questions go to ulla.x@lakes.test before June 1, 1900.", "e"), (2, None, "e"), (3, "", "e"), (4, "  \n", "e"), (5, long, "e"), (1, "Questions go to ulla.x@lakes.test before June 1, 1900.", "e")]
