@@ -47,6 +47,7 @@ _EMAIL = regex.compile(
 )
 # digit runs are possessive, so that long ones are read once; whole groups at the end are given back where a letter follows
 _PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}+|\(\d{1,4}\)|\d++)(?:[ \xa0  .‑–/-]?(?:\(\d{1,4}\)|\d++|(?<=\)) \d++))*(?![\p{Latin}\d])")
+_GROUP = regex.compile(r"\+ ?\d+|\(\d+\)|\d+")
 _SPELLED = regex.compile(r"[(\[{]\s?(?:at|arobase)|\s(?:dot|point)\s", regex.I)
 _NINE = regex.compile(r"(?<![\p{Latin}\d.‑/+-])\d{3}([ \xa0  ‑.-]?)\d{3}\1\d{3}(?![\p{Latin}\d])")
 _PASS = regex.compile(r"(?<![\p{Latin}\d-])\p{Latin}{1,2}[ \xa0]?\d{6,8}(?![\p{Latin}\d])")
@@ -122,12 +123,17 @@ def candidates(text: str, given: frozenset[str]) -> Iterator[Candidate]:
     for m in _EMAIL.finditer(text) if "@" in text or "＠" in text or _SPELLED.search(text) else ():
         yield Candidate("email", m.start(), m.end(), _around(text, m.start(), m.end()) | {"sign" if "@" in m[0] else "spelled", "domain=" + str(len(regex.findall(_DOT, m[0][len(m["local"]) :])))})
     for m in _PHONE.finditer(text):
-        cuts = [m.start()] + [m.start() + g.start() for g in regex.finditer(r"(?<=[ \xa0  ])[\d(+]", m[0])][:2]
-        for s in cuts:
-            t = text[s : m.end()]
-            n = sum(c.isdigit() for c in t)
-            if 8 <= n <= 15:
-                yield Candidate("phone", s, m.end(), _around(text, s, m.end()) | {f"digits={n}", "mask=" + _groups(t), "plus" if "+" in t[:1] else "noplus", "begins=" + t[:2], "whole" if s == m.start() else "part", f"groups={len(regex.findall(r'[0-9]+', t))}", "seps=" + "".join(sorted(set(regex.sub(r"\d", "", t))))})
+        groups = [(g.start(), g.end(), sum(c.isdigit() for c in g[0])) for g in _GROUP.finditer(text, m.start(), m.end())]
+        for i, (s, _, _) in enumerate(groups):
+            n = 0
+            for j in range(i, len(groups)):
+                e, n = groups[j][1], n + groups[j][2]
+                if n > 15:
+                    break
+                if n >= 8:
+                    t = text[s:e]
+                    ends = {"whole" if s == m.start() else "part", "to end" if e == m.end() else "to inside"}
+                    yield Candidate("phone", s, e, _around(text, s, e) | ends | {f"digits={n}", "mask=" + _groups(t), "plus" if "+" in t[:1] else "noplus", "begins=" + t[:2], f"groups={j - i + 1}", "seps=" + "".join(sorted(set(regex.sub(r"\d", "", t))))})
     for m in _NINE.finditer(text):
         yield Candidate("id_number", m.start(), m.end(), _around(text, m.start(), m.end()) | {"luhn" if luhn(regex.sub(r"\D", "", m[0])) else "noluhn", "nine"})
     for m in _PASS.finditer(text):
@@ -212,6 +218,15 @@ _SENTENCES = {
         "El expediente {x} se cerró el {d}.", "La hoja {x} muestra el mapa a escala 1:{q}.", "El expediente {r} se cerró el {d}.", "Nadie en {c} recuerda quién trazó el mapa.", "Desde el {d} la unidad se llama {c}.", "Unas {q} personas viven aún a la vista de {c}.", "En {c}, el consejo movió el mapa.", "¿El mapa pertenece a {c}? El consejo dice que no.", "El consejo describió el mapa cerca de {c} el {d}.", "«Guardaremos el mapa», escribió, «hasta que {c} acepte.»",
     ],
 }
+#: More sentences for phones alone: phones in lists, after and before other numbers. {h} house-like numbers, {o} a number that touches a letter.
+_LISTED = {
+    "en": ["Call {p} {p}.", "{p} {p} {p}", "Phones: {p}, {p}.", "{p} / {p}", "Room {h} {p}.", "{h} {p} {h}", "Call {p} {o} floor.", "{p} {o} {w}", "Call {p}; {n}, {p}.", "The sheet {h} {h} {w}.", "{h} {h}", "{p} {a}", "Tel. {p} - {p}."],
+    "fr": ["Appelez le {p} {p}.", "Salle {h} {p}.", "{p} {o} étage", "{p}, {p} {p}.", "La feuille {h} {h} {w}."],
+    "de": ["Rufen Sie {p} {p} an.", "Zimmer {h} {p}.", "{p} {o} {w}", "Blatt {h} {h} {w}."],
+    "ru": ["Звоните {p} {p}.", "Комната {h} {p}.", "{p} {h} {w}", "Лист {h} {h} {w}."],
+    "zh": ["请拨打{p} {p}。", "房间{h} {p}。", "{p}，{p} {p}", "图幅{h} {h}。"],
+    "es": ["Llame al {p} {p}.", "Sala {h} {p}.", "{p} {o} piso", "La hoja {h} {h} {w}."],
+}
 _MONTHS = {
     "en": "January February March April May June July August September October November December".split(),
     "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
@@ -320,11 +335,17 @@ class _Writer:
             f"@{self._made().lower()}_maps", f"{r.randrange(99)}@{r.randrange(40)}kg", f"{r.choice('ABD')}-{r.randrange(99)}/{r.randrange(1700, 1999)}", f"{r.choice('ABX')}{r.choice('NXW')}-{r.randrange(10**5):05d}", f"87{r.randrange(16**8):08x}fffff", "12345678901234567890",
         ])
 
-    def text(self) -> tuple[str, set[tuple[str, int, int]]]:
-        lang = self.r.choices(list(_SENTENCES), [5, 4, 2, 2, 2, 1])[0]
+    def h(self, lang: str) -> str:
+        return " ".join(str(self.r.choice([self.r.randrange(2, 20), self.r.randrange(2, 100), self.r.randrange(2, 3000)])) for _ in range(self.r.choice((1, 2, 3, 3))))
+
+    def o(self, lang: str) -> str:
+        return f"{self.r.randrange(2, 100)}{self.r.choice(['th', 'nd', 'B', 'a', 'e'])}"
+
+    def text(self, sentences: dict[str, list[str]] = _SENTENCES) -> tuple[str, set[tuple[str, int, int]]]:
+        lang = self.r.choices(list(sentences), [5, 4, 2, 2, 2, 1])[0]
         out, spans = "", set()
         for _ in range(self.r.choice((1, 2, 3))):
-            for part in regex.split(r"(\{\w\})", self.r.choice(_SENTENCES[lang])):
+            for part in regex.split(r"(\{\w\})", self.r.choice(sentences[lang])):
                 if not regex.fullmatch(r"\{\w\}", part):
                     out += part
                     continue
@@ -350,14 +371,25 @@ class Detector:
     def mentions(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of the mentions of each text, in order, none overlapping. Of overlapping candidates over
         their thresholds the likelier stays, then the longer, then the earlier."""
-        every = [(i, c) for i, t in enumerate(texts) if t for c in candidates(t, self.given)]
         found: list[list[tuple[float, Candidate]]] = [[] for _ in texts]
-        for kind, model in self.models.items():
-            mine = [(i, c) for i, c in every if c.kind == kind]
-            if mine:
-                for (i, c), p in zip(mine, model.predict([c.features for _, c in mine])):
-                    if p >= model.threshold:
-                        found[i].append((float(p), c))
+        waiting: dict[str, list[tuple[int, Candidate]]] = {kind: [] for kind in self.models}
+
+        def judge(kind: str) -> None:
+            mine, model = waiting[kind], self.models[kind]
+            for (i, c), p in zip(mine, model.predict([c.features for _, c in mine])):
+                if p >= model.threshold:
+                    found[i].append((float(p), c))
+            mine.clear()
+
+        # judged by the thousand: a long table of numbers has many candidates
+        for i, t in enumerate(texts):
+            for c in candidates(t, self.given) if t else ():
+                waiting[c.kind].append((i, c))
+                if len(waiting[c.kind]) >= 4096:
+                    judge(c.kind)
+        for kind in self.models:
+            if waiting[kind]:
+                judge(kind)
         out = []
         for spans in found:
             kept: list[Candidate] = []
@@ -371,18 +403,24 @@ class Detector:
 
 
 def train(given_names: Iterable[str], *, sample_texts: int = 8_000, seed: int = 7) -> Detector:
-    """Fits one model for each kind on ``sample_texts`` labelled texts written here (nothing else is sampled), a quarter
-    of them held out to set the thresholds. Deterministic for the same names and seed."""
+    """Fits one model for each kind on ``sample_texts`` labelled texts written here (nothing else is sampled), that for
+    phones on half as many again with lists of numbers, a quarter of them held out to set the thresholds. Deterministic for the same names and seed."""
     names = sorted({g.strip() for g in given_names if g and g.strip()})
     given, writer = frozenset(map(_fold, names)), _Writer(names, seed)
     parts: dict[bool, dict[str, tuple[list[set[str]], list[int]]]] = {h: {k: ([], []) for k in KINDS} for h in (False, True)}
-    for i in range(sample_texts):
-        text, spans = writer.text()
+    listed = _Writer(names, seed + 1)
+    for i in range(sample_texts + sample_texts // 2):
+        more = i >= sample_texts
+        text, spans = listed.text(_LISTED) if more else writer.text()
         starts = {(k, a) for k, a, _ in spans}
+        # a phone ends where it was written to end, before an extension
+        phones = {(a, a + len(text[a:b].split(" ext.")[0])) for k, a, b in spans if k == "phone"}
         for c in candidates(text, given):
+            if more and c.kind != "phone":
+                continue
             rows, y = parts[i % 4 == 3][c.kind]
             rows.append(c.features)
-            y.append(int((c.kind, c.start, c.end) in spans if c.kind == "name" else (c.kind, c.start) in starts))
+            y.append(int((c.start, c.end) in phones if c.kind == "phone" else (c.kind, c.start, c.end) in spans if c.kind == "name" else (c.kind, c.start) in starts))
     models = {}
     for kind in KINDS:
         rows, y = parts[False][kind]

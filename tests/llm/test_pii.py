@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from stratamesh.llm import pii
 from stratamesh.llm.boosting import BoostedTrees
@@ -67,6 +68,28 @@ def test_phone_before_a_number_that_touches_a_letter(detector, text, want):
     assert [text[a:b] for k, a, b in detector.mentions([text])[0] if k == "phone"] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("12 3 45 418 555 1234", ["418 555 1234"]),
+        ("418-555-1234 506-555-9876", ["418-555-1234", "506-555-9876"]),
+        ("418 555 1234 506 555 9876", ["418 555 1234", "506 555 9876"]),
+        ("Phones: 418 555 1234 506 555 9876 604 555 1111.", ["418 555 1234", "506 555 9876", "604 555 1111"]),
+        ("Call (418) 555-1234 (506) 555-9876 after eight.", ["(418) 555-1234", "(506) 555-9876"]),
+    ],
+)
+def test_phones_among_numbers(detector, text, want):
+    assert [text[a:b] for k, a, b in detector.mentions([text])[0] if k == "phone"] == want
+
+
+def test_every_run_of_groups_with_8_to_15_digits_is_proposed():
+    text = "+1 (418) 555-1234 506.555.98 76 7 7 12345678901 3"
+    at = [m.span() for m in regex.finditer(r"\+ ?\d+|\(\d+\)|\d+", text)]
+    want = {(a, b) for a, _ in at for _, b in at if a < b and 8 <= sum(c.isdigit() for c in text[a:b]) <= 15}
+    got = [(c.start, c.end) for c in pii.candidates(text, frozenset()) if c.kind == "phone"]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_long_runs_of_digits_are_read_once():
     t = time.perf_counter()
     for text in ("1" * 200_000 + "a", "12 " * 60_000 + "12a", "12-" * 60_000 + "1a"):
