@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "cell")
         s = jump.select("n", "c")
 
 
-def hop_distances(seeds: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def hop_distances(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, seed, dist: nearest seed by edge weights (column ``w``, else 1), ties to the smaller seed. Frontier
-    relaxation: each round only the nodes improved in the last one send."""
+    relaxation until no node changes (or for ``max_rounds``): each round only the nodes improved in the last one send."""
     e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1))
     e = cut(e.select("u", "v", "w").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     best = cut(seeds.groupBy("node").agg(F.min(F.struct(F.col("dist").alias("dist"), F.col("seed").alias("seed"))).alias("b")))
     front = best
-    for _ in range(max_rounds):
+    for _ in range(max_rounds) if max_rounds is not None else count():
         sent = front.join(e, front["node"] == e["u"]).groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("b.dist") + F.col("w")).alias("dist"), F.col("b.seed").alias("seed"))).alias("s"))
         merged = cut(best.join(sent, "node", "full_outer").select("node", F.least("b", "s").alias("b"), (F.col("s").isNotNull() & (F.col("b").isNull() | (F.col("s") < F.col("b")))).alias("new")))
         front, best = merged.where("new").select("node", "b"), merged.select("node", "b")

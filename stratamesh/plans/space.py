@@ -222,10 +222,21 @@ both_ AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), walk AS (SEL
 
 @query(sql("SELECT node AS cell, seed, dist FROM (SELECT node, seed, dist, row_number() OVER (PARTITION BY node ORDER BY dist, seed) AS rn FROM walk) WHERE rn = 1 AND dist <= 12", _FILL, recursive=True))
 def shortest_path_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Each cell's nearest large place by steps over the mesh (up to 12), ties to the smaller key."""
+    """Each cell's nearest large place by steps over the mesh, as far as its SQL goes (12 steps); ties to the smaller
+    key. ``graph_fill`` has every reachable cell."""
+    return _fill(spark, d, 12).where("dist <= 12")
+
+
+@query()
+def graph_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Each reachable cell's nearest large place by steps over the mesh, however far; ties to the smaller key."""
+    return _fill(spark, d)
+
+
+def _fill(spark: SparkSession, d: str, *rounds: int) -> DataFrame:
     m = C.newest_cells(spark, d)
     seeds = C.places(spark, d).where("population >= 20000").join(m.select("cell"), "cell", "left_semi").groupBy(F.col("cell").alias("node")).agg(F.min("place_key").alias("seed")).withColumn("dist", F.lit(0))
-    return G.hop_distances(seeds, C.edges(spark, d), 12).where("dist <= 12").select(F.col("node").alias("cell"), "seed", "dist")
+    return G.hop_distances(seeds, C.edges(spark, d), *rounds).select(F.col("node").alias("cell"), "seed", "dist")
 
 
 _TREE = """newest_t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC) AS rn FROM tree_nodes) WHERE rn = 1), told AS (SELECT child, min(node_id) AS lister FROM (SELECT node_id, unnest(children) AS child FROM newest_t) GROUP BY child),
