@@ -211,9 +211,9 @@ def contiguity_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sea_crossings(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that join the pieces of a scope by their closest pairs (candidates within 4 degrees)."""
+    """Edges that join the pieces of a scope into one by their closest pairs, however far apart."""
     cells, e = _half(spark, d)
-    return G.join_components(cells, e, node="cell", candidates=P.near_pairs(cells, key="cell", lon="lon", lat="lat", degrees=4.0)).select("u", "v", half_up(F.col("km"), 3).alias("km"))
+    return G.cross_components(cells, e, node="cell").select("u", "v", half_up(F.col("km"), 3).alias("km"))
 
 
 _FILL = """seeds AS (SELECT cell AS node, min(place_key) AS seed FROM spots WHERE population >= 20000 AND cell IN (SELECT cell FROM mesh) GROUP BY cell),

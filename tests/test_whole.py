@@ -1,11 +1,14 @@
 """Queries without SQL against brute force, on tables where a bound would show."""
 
 import datetime as dt
+import math
 import random
 from collections import deque
 
 import pytest
 
+from stratamesh.operators import graph as G
+from stratamesh.operators.proximity import EARTH_KM
 from stratamesh.plans import space
 
 T0 = dt.datetime(2024, 1, 1)
@@ -40,3 +43,46 @@ def test_graph_fill_reaches_every_cell(spark, tmp_path):
             want[c] = min(want.get(c, (n, key)), (n, key))
     got = {x.cell: (x.dist, x.seed) for x in space.QUERIES["graph_fill"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 60 and max(n for n, _ in want.values()) > 12
+
+
+def km(p, q):
+    (x1, y1), (x2, y2) = (tuple(map(math.radians, a)) for a in (p, q))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_cross_components_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    # crowds far apart, two of them on both sides of the date line, one at a pole
+    at = {100 * k + i: (x + r.uniform(-w, w), y + r.uniform(-w, w)) for k, (x, y, w) in enumerate([(-100, 50, 2), (-60, 52, 2), (179, -10, 0.9), (-179, -10, 0.9), (10, 89, 0.9), (-99, 51, 0.5)]) for i in range(12)}
+    names = list(at)
+    r.shuffle(names)
+    edges = [(min(a, b), max(a, b)) for a, b in zip(names, names[1:]) if a // 100 == b // 100]
+    edges += [(100, 101), (102, 101)]
+    root = {n: n for n in at}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    want = set()
+    for d, a, b in sorted((km(at[a], at[b]), a, b) for a in at for b in at if a < b):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b))
+    nodes = spark.createDataFrame([(n, *p) for n, p in at.items()] + [(9999, None, None)], "cell bigint, lon double, lat double")
+    got = G.cross_components(nodes, spark.createDataFrame(edges, "u bigint, v bigint"), node="cell").collect()
+    assert {(x.u, x.v) for x in got} == want and len(got) == len(want) > 12
+    assert all(abs(x.km - km(at[x.u], at[x.v])) < 1e-6 for x in got)
+    assert G.cross_components(nodes.limit(0), spark.createDataFrame([], "u bigint, v bigint"), node="cell").count() == 0
+
+
+def test_sea_crossings_leave_one_piece(spark, sf):
+    cells, e = space._half(spark, sf)
+    far = space.QUERIES["sea_crossings"](spark, sf).select("u", "v")
+    assert far.count() == G.connected_components(cells, e).select("component").distinct().count() - 1
+    assert G.connected_components(cells, e.unionByName(far)).select("component").distinct().count() == 1
