@@ -90,13 +90,34 @@ def nested_sets(links: DataFrame, *, with_path: bool = False) -> DataFrame:
     return done.unionByName(loose)
 
 
-def descendants(sets: DataFrame, of: DataFrame) -> DataFrame:
-    """``node`` and ``below`` for every node of ``of`` (one column ``node``): an equi-join on the root, then the range."""
-    a = sets.where("root IS NOT NULL").join(of.select("node").distinct(), "node", "left_semi").select("node", "root", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    return a.join(sets.select("root", F.col("node").alias("below"), "lo"), "root").where("lo > a AND lo <= b").select("node", "below")
-
-
-def ancestors(sets: DataFrame, of: DataFrame) -> DataFrame:
-    """``node`` and ``above`` for every node of ``of``."""
-    a = sets.where("root IS NOT NULL").join(of.select("node").distinct(), "node", "left_semi").select("node", "root", F.col("lo").alias("x"))
-    return a.join(sets.select("root", F.col("node").alias("above"), "lo", "hi"), "root").where("lo < x AND x <= hi").select("node", "above")
+def _bucketed(sets: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ranges`` and the nodes of ``sets`` with buckets ``_k``, ``_b`` of the preorder. A range goes to the buckets of the least power of two over its length, which are two at most,
+    and the nodes to their bucket of every size that is in use; so what meets is at most a few times the result."""
+    r = ranges.where("lo < hi").withColumn("_k", F.length(F.bin(F.col("hi") - F.col("lo"))))
+    r = r.withColumn("_b", F.explode(F.expr("sequence(shiftright(lo + 1, _k), shiftright(hi, _k))")))
+    sizes = sorted(x[0] for x in r.select("_k").distinct().collect())
+    p = sets.where("root IS NOT NULL").select("root", F.col("node").alias("below"), F.col("lo").alias("at"))
+    p = p.withColumn("_k", F.explode(F.lit(sizes).cast("array<int>"))).withColumn("_b", F.expr("shiftright(at, _k)"))
+    return r, p
+
+
+def _in_range(sets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each row of ``ranges`` (``node``, ``root``, ``lo``, ``hi``) with each node ``below`` of the root whose ``at`` is in
+    ``lo`` + 1 .. ``hi``."""
+    r, p = _bucketed(sets, ranges)
+    return r.join(p, ["root", "_k", "_b"]).where("at > lo AND at <= hi")
+
+
+def descendants(sets: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``below`` for every node of ``of`` (one column ``node``), or of ``sets``: a range join by buckets of
+    the preorder."""
+    a = sets.where("root IS NOT NULL").select("node", "root", "lo", "hi")
+    if of is not None:
+        a = a.join(of.select("node").distinct(), "node", "left_semi")
+    return _in_range(sets, a).select("node", "below")
+
+
+def ancestors(sets: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``above`` for every node of ``of``, or of ``sets``."""
+    a = sets if of is None else sets.join(of.select("node").distinct(), "node", "left_semi")
+    return _in_range(a, sets.where("root IS NOT NULL").select("node", "root", "lo", "hi")).select(F.col("below").alias("node"), F.col("node").alias("above"))

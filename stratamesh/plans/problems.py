@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratamesh.functions.text import tidy_id
 from stratamesh.operators.asof import as_known
-from stratamesh.operators.hierarchy import nested_sets, resolve_parents
+from stratamesh.operators.hierarchy import descendants, nested_sets, resolve_parents
 from stratamesh.operators.history import build_history
 from stratamesh.operators.orphans import orphan_references
 from stratamesh.operators.proximity import pairs_within
@@ -112,11 +112,22 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return tree_sets(spark, d, with_path=True).select(F.col("node").alias("node_id"), F.array_join("path", "/").alias("node_path"))
 
 
+def p5_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's preorder range in its tree: what lies below a node is in the same root with ``lo`` in its range. In
+    or below loops the root is empty and the range -1."""
+    return tree_sets(spark, d).select(F.col("node").alias("node_id"), F.coalesce("root", F.lit("")).alias("root_id"), "lo", "hi")
+
+
+def p5_below(spark: SparkSession, d: str) -> DataFrame:
+    """Everything below every node, one row a pair."""
+    return descendants(tree_sets(spark, d)).select(F.col("node").alias("node_id"), "below")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs_within(table(spark, d, "map_points"), key="point_key", lat="lat", lng="lng", radius_km=0.25).select(F.col("a").alias("point_a"), F.col("b").alias("point_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p3_found, p4_found, p5_found, p5_paths, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p3_found, p4_found, p5_found, p5_paths, p5_sets, p5_below, p6_found)}
 
 _NORM = r"trim(regexp_replace(nfc_normalize({0}), '[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+', ' ', 'g'))"
 _HISTORY = f"""
@@ -218,6 +229,8 @@ SELECT n.node_id, coalesce(w.path[1], '') AS root_id, CAST(coalesce(len(w.path)
 FROM newest n LEFT JOIN walk w ON w.node_id = n.node_id LEFT JOIN below b ON b.up = n.node_id AND w.node_id IS NOT NULL""",
     "p5_paths": _TREE + """
 SELECT n.node_id, array_to_string(w.path, '/') AS node_path FROM newest n LEFT JOIN walk w ON w.node_id = n.node_id""",
+    "p5_below": _TREE + """
+SELECT up AS node_id, node_id AS below FROM (SELECT node_id, unnest(path) AS up FROM walk) WHERE up <> node_id""",
     "p6_found": """
 WITH p AS (
   SELECT DISTINCT point_key AS k, lat, lng FROM map_points

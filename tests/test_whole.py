@@ -2,14 +2,22 @@
 
 import datetime as dt
 import math
+import os
 import random
+import sys
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratamesh.operators import graph as G
-from stratamesh.operators.proximity import EARTH_KM
-from stratamesh.plans import space
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from oracle import compare, connection  # noqa: E402
+
+from stratamesh.operators import graph as G  # noqa: E402
+from stratamesh.operators.proximity import EARTH_KM  # noqa: E402
+from stratamesh.operators.hierarchy import _bucketed, ancestors, descendants, nested_sets  # noqa: E402
+from stratamesh.plans import problems, space  # noqa: E402
 
 T0 = dt.datetime(2024, 1, 1)
 CELLS = "cell bigint, id string, lon double, lat double, area double, province string, cd string, csd string, neighbours array<bigint>, mesh_version string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
@@ -86,3 +94,24 @@ def test_sea_crossings_leave_one_piece(spark, sf):
     far = space.QUERIES["sea_crossings"](spark, sf).select("u", "v")
     assert far.count() == G.connected_components(cells, e).select("component").distinct().count() - 1
     assert G.connected_components(cells, e.unionByName(far)).select("component").distinct().count() == 1
+
+
+def test_everything_below_every_split(spark, sf):
+    assert compare(spark, connection(sf), problems.QUERIES["p5_below"], problems.SQL["p5_below"], sf) == ""
+    sets = problems.QUERIES["p5_sets"](spark, sf).collect()
+    found = {x.node_id: x for x in problems.QUERIES["p5_found"](spark, sf).collect()}
+    assert len(sets) == len(found) and {x.node_id: x.root_id for x in sets} == {n: x.root_id for n, x in found.items()}
+    assert all(x.hi - x.lo == found[x.node_id].n_below if x.root_id else (x.lo, x.hi) == (-1, -1) for x in sets)
+    below = {(x.node_id, x.below) for x in problems.QUERIES["p5_below"](spark, sf).collect()}
+    assert below == {(a.node_id, b.node_id) for a in sets for b in sets if a.root_id and a.root_id == b.root_id and a.lo < b.lo <= a.hi}
+
+
+def test_range_join_does_not_meet_the_whole_tree(spark):
+    """One wide tree: 40 families of 50 under one root. On the root alone 2,041 x 2,041 pairs would meet."""
+    rows = [("r", None)] + [(f"f{i}", "r") for i in range(40)] + [(f"f{i}.{j}", f"f{i}") for i in range(40) for j in range(50)]
+    sets = nested_sets(spark.createDataFrame(rows, "node string, parent string")).cache()
+    want = {("r", n) for n, p in rows if p} | {(p, n) for n, p in rows if p and p != "r"}
+    assert {(x.node, x.below) for x in descendants(sets).collect()} == want
+    assert {(x.above, x.node) for x in ancestors(sets).collect()} == want
+    r, p = _bucketed(sets, sets.select("node", "root", "lo", "hi"))
+    assert r.join(p, ["root", "_k", "_b"]).agg(F.count(F.lit(1))).first()[0] <= 4 * len(want)
