@@ -231,10 +231,12 @@ def dated_places(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scenario_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Every scenario against the recorded history, each one run; the events it could not take are the result."""
+    """Every scenario against the recorded history, each one run. A unit's first create in a scenario is its base row,
+    all later changes are events (creates too, so a unit can live again); an event that cannot happen is left out."""
     ch = latest_changes(spark, d)
-    rows = ch.where("kind = 'create'").select("scenario_id", F.col("unit_id").alias("unit"), F.col("event_date").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), "name", "status", "sovereign").dropDuplicates(["scenario_id", "unit"])
-    events = ch.where("kind <> 'create'").select("scenario_id", F.col("event_date").alias("date"), F.concat_ws(":", "scenario_id", "event_date").alias("event"), F.col("change_id").alias("seq"), "kind", F.col("unit_id").alias("unit"), "name", "status", "sovereign")
+    ch = ch.withColumn("_nth", F.when(F.col("kind") == "create", F.row_number().over(Window.partitionBy("scenario_id", "unit_id", "kind").orderBy("event_date", "change_id"))))
+    rows = ch.where("_nth = 1").select("scenario_id", F.col("unit_id").alias("unit"), F.col("event_date").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), "name", "status", "sovereign")
+    events = ch.where("kind <> 'create' OR _nth > 1").select("scenario_id", F.col("event_date").alias("date"), F.concat_ws(":", "scenario_id", "event_date").alias("event"), F.col("change_id").alias("seq"), "kind", F.col("unit_id").alias("unit"), "name", "status", "sovereign")
     return R.scenario_replay(rows, events, runs=["scenario_id"])
 
 

@@ -17,7 +17,7 @@ from oracle import compare, connection  # noqa: E402
 from stratamesh.operators import graph as G  # noqa: E402
 from stratamesh.operators.proximity import EARTH_KM  # noqa: E402
 from stratamesh.operators.hierarchy import _bucketed, ancestors, descendants, nested_sets  # noqa: E402
-from stratamesh.plans import problems, space  # noqa: E402
+from stratamesh.plans import problems, space, timeline  # noqa: E402
 
 T0 = dt.datetime(2024, 1, 1)
 CELLS = "cell bigint, id string, lon double, lat double, area double, province string, cd string, csd string, neighbours array<bigint>, mesh_version string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
@@ -115,3 +115,15 @@ def test_range_join_does_not_meet_the_whole_tree(spark):
     assert {(x.above, x.node) for x in ancestors(sets).collect()} == want
     r, p = _bucketed(sets, sets.select("node", "root", "lo", "hi"))
     assert r.join(p, ["root", "_k", "_b"]).agg(F.count(F.lit(1))).first()[0] <= 4 * len(want)
+
+
+def test_scenario_replay_keeps_every_create(spark, tmp_path):
+    rows = [
+        (3, "s", "a", "1900-01-01", T0, "create", "A again", "t", "x"), (2, "s", "a", "1880-01-01", T0, "dissolve", None, None, None), (1, "s", "a", "1850-01-01", T0, "create", "A", "t", "x"),
+        (4, "s", "b", "1860-01-01", T0, "create", "B", "t", "x"), (5, "s", "b", "1870-01-01", T0, "create", "B twice", "t", "x"), (6, "s", "b", "1875-01-01", T0, "rename", "B2", None, None),
+        (8, "s", "c", "1860-01-01", T0, "create", "C late", "t", "x"), (7, "s", "c", "1860-01-01", T0, "create", "C first", "t", "x"), (9, "s", "c", None, T0, "create", "no date", "t", "x"),
+    ]
+    schema = "change_id bigint, scenario_id string, unit_id string, event_date string, recorded_at timestamp_ntz, kind string, name string, status string, sovereign string, capital string, fields_set array<string>"
+    spark.createDataFrame([(*r, None, []) for r in rows], schema).repartition(5).write.parquet(f"{tmp_path}/unit_changes.parquet")
+    got = {(x.unit, x.valid_from, x.valid_to, x.name) for x in timeline.QUERIES["scenario_replay"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "1850-01-01", "1880-01-01", "A"), ("a", "1900-01-01", None, "A again"), ("b", "1860-01-01", "1875-01-01", "B"), ("b", "1875-01-01", None, "B2"), ("c", "1860-01-01", None, "C first")}
