@@ -188,40 +188,53 @@ def _keeps(s: Scope, region: np.ndarray, u: int) -> bool:
     mine = [v for v in s.near[u] if region[v] == r]
     if len(mine) <= 1:
         return bool(mine)
-    want, seen, stack = set(mine[1:]), {u, mine[0]}, [mine[0]]
-    while stack and want:
-        for v in s.near[stack.pop()]:
+    want, seen, queue = set(mine[1:]), {u, mine[0]}, [mine[0]]
+    for x in queue:  # outward, as the other neighbours are mostly near
+        for v in s.near[x]:
             if v not in seen and region[v] == r:
                 seen.add(v)
                 want.discard(v)
-                stack.append(v)
+                queue.append(v)
+        if not want:
+            break
     return not want
 
 
-def _anneal(s: Scope, region: np.ndarray, k: int, rng: Mulberry32, moves: int) -> np.ndarray:
-    """Moves boundary cells; accepts what lowers the cost and, by chance, what raises it a little."""
-    load, count = np.bincount(region, s.load, k), np.bincount(region, minlength=k)
-    lens, target = np.bincount(region, s.lens, k), s.load.sum() / k
+def _anneal(s: Scope, region: np.ndarray, k: int, rng: Mulberry32, moves: int, plateau: int) -> np.ndarray:
+    """Moves boundary cells; accepts what lowers the cost and, by chance, what raises it a little. In its cooler half it
+    stops once ``plateau`` moves have brought no new best cost (looked at every 5,000 moves)."""
+    # plain lists, as single numbers are read and written all the time
+    load, count = np.bincount(region, s.load, k).tolist(), np.bincount(region, minlength=k).tolist()
+    lens, target = np.bincount(region, s.lens, k).tolist(), float(s.load.sum()) / k
+    loads, values, region = s.load.tolist(), s.lens.tolist(), region.tolist()
+    edge = [u for u in range(len(region)) if any(region[v] != region[u] for v in s.near[u])]
+    place = {u: i for i, u in enumerate(edge)}
     edges = max(1, sum(map(len, s.near)) // 2)
     total = max(1e-12, float(np.sum(s.lens**2)))
 
     def delta(u: int, b: int) -> float:
-        a, x = int(region[u]), s.load[u]
+        a, x = region[u], loads[u]
         bal = ((load[a] - x - target) ** 2 + (load[b] + x - target) ** 2 - (load[a] - target) ** 2 - (load[b] - target) ** 2) / target**2 / k
-        cut = sum(int(region[v] != b) - int(region[v] != a) for v in s.near[u]) / edges
+        cut = sum((region[v] != b) - (region[v] != a) for v in s.near[u]) / edges
         between = lambda total_, n: total_**2 / n if n else 0.0
-        y = s.lens[u]
+        y = values[u]
         spread = -(between(lens[a] - y, count[a] - 1) + between(lens[b] + y, count[b] + 1) - between(lens[a], count[a]) - between(lens[b], count[b])) / total
         return s.w["balance"] * bal + s.w["compactness"] * cut + s.w["lens"] * spread
 
     def propose() -> tuple[int, int] | None:
-        u = rng.below(len(region))
-        others = sorted({int(region[v]) for v in s.near[u]} - {int(region[u])})
-        return (u, others[rng.below(len(others))]) if others else None
+        if not edge:
+            return None
+        u = edge[rng.below(len(edge))]
+        others = sorted({region[v] for v in s.near[u]} - {region[u]})
+        return u, others[rng.below(len(others))]
 
     sample = [abs(delta(*p)) for p in (propose() for _ in range(400)) if p]
     t0 = 0.02 * (sum(sample) / len(sample) if sample else 0.0)
+    cost = best = 0.0
+    last = 0
     for i in range(moves):
+        if i and i % 5_000 == 0 and 2 * i > moves and i - last > plateau:
+            break
         p, chance = propose(), rng.random()
         if p is None or count[region[p[0]]] <= 1:
             continue
@@ -229,14 +242,26 @@ def _anneal(s: Scope, region: np.ndarray, k: int, rng: Mulberry32, moves: int) -
         change = delta(u, b)
         t = t0 * (1 - 0.999 * i / moves)
         if (change <= 0 or (t > 0 and chance < math.exp(-change / t))) and _keeps(s, region, u):
-            a = int(region[u])
-            load[a], load[b], lens[a], lens[b] = load[a] - s.load[u], load[b] + s.load[u], lens[a] - s.lens[u], lens[b] + s.lens[u]
+            a = region[u]
+            load[a], load[b], lens[a], lens[b] = load[a] - loads[u], load[b] + loads[u], lens[a] - values[u], lens[b] + values[u]
             count[a], count[b] = count[a] - 1, count[b] + 1
             region[u] = b
-    return region
-
-
-def solve(cells: pd.DataFrame, *, n: int, method: str, seed: int, moves: int = 0, weights: dict[str, float] | None = None) -> pd.DataFrame:
+            for w in (u, *s.near[u]):
+                if any(region[v] != region[w] for v in s.near[w]):
+                    if w not in place:
+                        place[w] = len(edge)
+                        edge.append(w)
+                elif w in place:
+                    at, end = place.pop(w), edge.pop()
+                    if end != w:
+                        edge[at], place[end] = end, at
+            cost += change
+            if cost < best - 1e-12:
+                best, last = cost, i
+    return np.array(region, np.int64)
+
+
+def solve(cells: pd.DataFrame, *, n: int, method: str, seed: int, moves: int = 0, weights: dict[str, float] | None = None, plateau: int = 50_000) -> pd.DataFrame:
     """cell, region of one run. ``cells``: cell, lon, lat, load, lens, neighbours and, for method template, region0."""
     s, rng = Scope(cells, weights or {}), Mulberry32(seed)
     if not len(s.ids):
@@ -254,7 +279,7 @@ def solve(cells: pd.DataFrame, *, n: int, method: str, seed: int, moves: int = 0
         seeds = _seeds(s, n, rng) if method != "random" else [int(x) for x in sorted(range(len(s.ids)), key=lambda _: rng.random())[:n]]
         region = _grow(s, seeds, method == "balanced")
     if moves:
-        region = _anneal(s, region, n, rng, moves)
+        region = _anneal(s, region, n, rng, moves, plateau)
     return pd.DataFrame({"cell": s.ids, "region": region.astype(np.int32)})
 
 

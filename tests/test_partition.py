@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stratamesh.operators.partition import METHODS, Mulberry32, Scope, solve
+from stratamesh.operators.partition import METHODS, Mulberry32, Scope, _anneal, solve
 
 
 def grid(w, h, holes=()):
@@ -55,6 +55,32 @@ def test_annealing_balances():
     assert spread(after) < 0.5 * spread(before)
 
 
+def test_refining_runs_take_200000_moves(spark, sf, monkeypatch):
+    from stratamesh.plans import artefacts
+
+    monkeypatch.setattr(artefacts, "run_all", lambda cells, runs: runs)
+    got = {(r.method, r.moves) for r in artefacts.QUERIES["solve_runs"](spark, sf).collect()}
+    assert {m for m, n in got if n == 200_000} == {"seeded", "balanced", "lens"} and len(got) == 5
+
+
+def test_plateau_stops_and_moves_stay_on_the_boundary():
+    class Counting(Mulberry32):
+        drawn = 0
+
+        def random(self):
+            self.drawn += 1
+            return super().random()
+
+    s = Scope(grid(8, 6), {})
+    drawn = []
+    for plateau in (5_000, 10**9):
+        rng = Counting(1)
+        region = _anneal(s, np.repeat([0, 1], 24), 2, rng, 40_000, plateau)
+        assert set(region) == {0, 1} and set(pieces(s, region).values()) == {1}
+        drawn.append(rng.drawn)
+    assert drawn[0] < drawn[1] == 400 * 2 + 40_000 * 3  # every proposal finds a cell with a region to go to
+
+
 def test_template_without_moves_is_unchanged():
     g = grid(6, 6)
     a = solve(g, n=3, method="template", seed=1)
