@@ -197,6 +197,17 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+@query()
+def mesh_components(spark: SparkSession, d: str) -> DataFrame:
+    """The component of every cell of the whole mesh."""
+    return G.connected_components(C.newest_cells(spark, d), C.edges(spark, d))
+
+
+@query()
+def mesh_component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return mesh_components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 _REGIONS = "both_ AS (SELECT u, v, a.region FROM (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges) JOIN other a ON a.cell = u JOIN other b ON b.cell = v WHERE a.region = b.region), reach AS (SELECT cell AS a, cell AS b FROM mesh UNION SELECT r.a, e.v FROM reach r JOIN both_ e ON e.u = r.b)"
 
 

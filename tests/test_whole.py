@@ -127,3 +127,17 @@ def test_scenario_replay_keeps_every_create(spark, tmp_path):
     spark.createDataFrame([(*r, None, []) for r in rows], schema).repartition(5).write.parquet(f"{tmp_path}/unit_changes.parquet")
     got = {(x.unit, x.valid_from, x.valid_to, x.name) for x in timeline.QUERIES["scenario_replay"](spark, str(tmp_path)).collect()}
     assert got == {("a", "1850-01-01", "1880-01-01", "A"), ("a", "1900-01-01", None, "A again"), ("b", "1860-01-01", "1875-01-01", "B"), ("b", "1875-01-01", None, "B2"), ("c", "1860-01-01", None, "C first")}
+
+
+def test_every_cell_of_the_mesh_has_a_component(spark, tmp_path):
+    r = random.Random(5)
+    near = {c: [r.randrange(80)] if r.random() < 0.7 else [] for c in range(80)}
+    write_cells(spark, tmp_path, near)
+    root = {c: c for c in near}
+    for _ in near:
+        for c, ns in near.items():
+            for n in ns:
+                root[c] = root[n] = min(root[c], root[n])
+    assert {x.cell: x.component for x in space.QUERIES["mesh_components"](spark, str(tmp_path)).collect()} == root
+    sizes = {x.component: x.n_cells for x in space.QUERIES["mesh_component_sizes"](spark, str(tmp_path)).collect()}
+    assert sizes == {c: list(root.values()).count(c) for c in set(root.values())} and len(sizes) > 5
