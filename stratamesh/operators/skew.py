@@ -51,3 +51,15 @@ def replicate(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFram
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_parts")
     )
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
+    """Left join to ``right``, which has each ``key`` once. Rows of a key in ``hot`` (``key``, ``_parts``) are spread by a
+    hash of ``by``; rows without a key need no partner and are not shuffled to one place."""
+    none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key])
+    some = left.where(F.col(key).isNotNull())
+    if hot is None:
+        met = some.join(right, key, "left")
+    else:
+        met = salt(some, hot, [key], F.col(by)).join(replicate(right, hot, [key]), [key, "_salt"], "left").drop("_salt")
+    return met.select(none.columns).unionByName(none)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratamesh.functions.text import tidy_id
 from stratamesh.operators.asof import as_known
-from stratamesh.operators.hierarchy import descendants, nested_sets, resolve_parents
+from stratamesh.operators.hierarchy import descendants, listed_parents, nested_sets
 from stratamesh.operators.history import build_history
 from stratamesh.operators.orphans import orphan_references
 from stratamesh.operators.proximity import pairs_within
@@ -56,17 +56,24 @@ def _whole(c: Column) -> Column:
 
 
 def nested_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Flat rows of packs, regions and created units: (raw_id, entity, parent_id, child_id), repeats included."""
+    """Flat rows of packs, regions and created units: (raw_id, entity, parent_id, child_id), repeats included. Records are
+    parsed once; every object of the pivoted table then says itself which row it is."""
     t = shred(table(spark, d, "raw_records"), key="raw_id", payload="payload", keep=["record_kind"], repeated=["children", "regions", "events", "changes"], paths=_PATHS)
     g = instances(t, ["raw_id", "record_kind"], F.regexp_extract("path", r"^(.*\[\])?", 0), {"id": "id", "created": "create"})
     up = F.slice("ords", 1, F.size("ords") - 1)
     pack = F.col("record_kind") == "pack"
     event = F.concat(F.lit("/"), F.get("ords", F.size("ords") - 2).cast("string"))
-    packs = g.where(pack & F.col("ancestor").rlike(rf"^{_PACK}$")).select("raw_id", F.lit("pack").alias("entity"), F.when(F.size("ords") > 0, _position(up)).otherwise("").alias("parent_id"), _position(F.col("ords")).alias("child_id"))
-    regions = g.where(pack & F.col("ancestor").endswith(".regions[]")).select("raw_id", F.lit("region").alias("entity"), _position(up).alias("parent_id"), _whole(F.col("id")).cast("string").alias("child_id"))
-    inside = g.where(pack & F.col("ancestor").endswith(".scenario.events[].changes[]")).select("raw_id", F.lit("create").alias("entity"), F.concat(_position(F.slice("ords", 1, F.size("ords") - 2)), event).alias("parent_id"), F.col("created").alias("child_id"))
-    alone = g.where((F.col("record_kind") == "scenario") & (F.col("ancestor") == ".events[].changes[]")).select("raw_id", F.lit("create").alias("entity"), event.alias("parent_id"), F.col("created").alias("child_id"))
-    return packs.unionByName(regions).unionByName(inside).unionByName(alone).where("child_id IS NOT NULL")
+
+    def row(entity: str, parent: Column, child: Column) -> Column:
+        return F.struct(F.lit(entity).alias("entity"), parent.alias("parent_id"), child.alias("child_id"))
+
+    found = (
+        F.when(pack & F.col("ancestor").rlike(rf"^{_PACK}$"), row("pack", F.when(F.size("ords") > 0, _position(up)).otherwise(""), _position(F.col("ords"))))
+        .when(pack & F.col("ancestor").endswith(".regions[]"), row("region", _position(up), _whole(F.col("id")).cast("string")))
+        .when(pack & F.col("ancestor").endswith(".scenario.events[].changes[]"), row("create", F.concat(_position(F.slice("ords", 1, F.greatest(F.lit(0), F.size("ords") - 2))), event), F.col("created")))
+        .when((F.col("record_kind") == "scenario") & (F.col("ancestor") == ".events[].changes[]"), row("create", event, F.col("created")))
+    )
+    return g.select("raw_id", found.alias("found")).where("found.child_id IS NOT NULL").select("raw_id", "found.*")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +106,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_sets(spark: SparkSession, d: str, *, with_path: bool = False) -> DataFrame:
-    links = resolve_parents(table(spark, d, "tree_nodes"), node="node_id", parent="parent_id", children="children", updated_at="updated_at")
+    links = listed_parents(table(spark, d, "tree_nodes"), node="node_id", parent="parent_id", children="children", updated_at="updated_at")
     return nested_sets(links, with_path=with_path)
 
 

@@ -221,8 +221,8 @@ def brute_tree(parent):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_nested_sets_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "sizes"), [(0, {}), (1, {}), (2, {"wide": 5, "piece": 7}), (3, {"wide": 20, "piece": 3})])
+def test_nested_sets_against_brute_force(spark, seed, sizes):
     r = random.Random(seed)
     n = 120
     parent = {f"n{i}": (f"n{r.randrange(i)}" if i and r.random() < 0.93 else None) for i in range(n)}
@@ -231,7 +231,7 @@ def test_nested_sets_against_brute_force(spark, seed):
     if seed:
         parent |= {"a": "b", "b": "d", "d": "a", "s": "s", "below": "a", "below2": "below", **{f"y{i}": "s" for i in range(5)}}
     links = spark.createDataFrame(list(parent.items()), "node string, parent string")
-    sets = nested_sets(links, with_path=True).cache()
+    sets = nested_sets(links, with_path=True, **sizes).cache()
     want = brute_tree(parent)
     got = {x.node: x for x in sets.collect()}
     assert got.keys() == parent.keys()
@@ -242,6 +242,10 @@ def test_nested_sets_against_brute_force(spark, seed):
         else:
             assert (x.root, x.depth, x.path) == (path[0], len(path) - 1, path)
             assert x.n_below == sum(1 for p in want.values() if p and v in p) - 1
+    # ranges nest as the tree does
+    for p in {p for p in parent.values() if want.get(p)}:
+        kids = sorted((got[v].lo, got[v].hi) for v, q in parent.items() if q == p)
+        assert [a for a, _ in kids] == [got[p].lo + 1, *(b + 1 for _, b in kids[:-1])] and kids[-1][1] == got[p].hi
     some = spark.createDataFrame([("n3",), ("c40",), ("n7",)], "node string")
     up = {(a.node, a.above) for a in ancestors(sets, some).collect()}
     down = {(a.node, a.below) for a in descendants(sets, some).collect()}
@@ -253,6 +257,18 @@ def test_only_loops_and_empty(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "node string, parent string")
     assert {(x.node, x.depth) for x in nested_sets(links).collect()} == {("a", -1), ("b", -1), ("c", -1)}
     assert nested_sets(links.limit(0)).count() == 0
+    gone = spark.createDataFrame([("a", "gone"), ("b", "gone"), ("c", "b"), ("d", "x")], "node string, parent string")
+    assert {(x.node, x.root, x.depth, x.lo, x.hi) for x in nested_sets(gone).collect()} == {("a", "a", 0, 0, 0), ("b", "b", 0, 0, 1), ("c", "b", 1, 1, 1), ("d", "d", 0, 0, 0)}
+
+
+def test_star_and_chain(spark):
+    """A root with a million children, and a chain of 100,000 under one of them: salted joins, 17 rounds, no wide task."""
+    star = spark.range(1_000_000).select((F.col("id") + 1).alias("node"), F.lit(0).cast("bigint").alias("parent"))
+    chain = spark.range(100_000).select((F.col("id") + 2_000_000).alias("node"), F.when(F.col("id") == 0, 7).otherwise(F.col("id") + 1_999_999).alias("parent"))
+    top = spark.createDataFrame([(0, None)], "node bigint, parent bigint")
+    sets = nested_sets(top.unionByName(star).unionByName(chain), wide=100_000, piece=50_000).where("node in (0, 7, 2000000, 2099999)")
+    got = {x.node: (x.root, x.depth, x.n_below, x.hi - x.lo) for x in sets.collect()}
+    assert got == {0: (0, 0, 1_100_000, 1_100_000), 7: (0, 1, 100_000, 100_000), 2_000_000: (0, 2, 99_999, 99_999), 2_099_999: (0, 100_001, 0, 0)}
 
 
 def test_resolve_parents(spark):
