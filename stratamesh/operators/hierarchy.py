@@ -53,10 +53,14 @@ def _counts_below(inner: DataFrame, wide: int) -> tuple[DataFrame, list[DataFram
     done: list[DataFrame] = []
     hots: list[DataFrame | None] = []
     before = -1
-    while (now := s.where("up IS NOT NULL").count()) not in (0, before):
+    while True:
         given = s.where("up IS NOT NULL").groupBy("up").agg(F.sum("n").alias("more"), F.count(F.lit(1)).alias("asks"))
         asked = cut(given.join(s.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up", "left"))
-        hots.append(_hot(asked, "up", wide))
+        now, most = asked.agg(F.sum("asks"), F.max("asks")).first()
+        if now in (None, before):
+            drop(asked)
+            break
+        hots.append(_hot(asked, "up", wide) if most > wide else None)
         moved = lookup(s, asked.select("up", "up2"), "up", hots[-1], "node").select("node", "kids", F.col("up2").alias("up"), "n")
         got = moved.join(asked.select(F.col("up").alias("node"), "more"), "node", "left")
         live, ended = cut_by(got.select("node", "kids", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("up").isNotNull() | F.col("more").isNotNull()).alias("live")), "live")
@@ -122,7 +126,7 @@ def nested_sets(links: DataFrame, *, with_path: bool = False, wide: int = WIDE,
         )
 
     tables, k = [still], 0
-    while moving.limit(1).count():
+    while moving.inputFiles():
         base = gather(tables).where("inner")
         went, there = cut_by(step(moving, base.unionByName(moving), hots[k]).withColumn("moves", F.col("up").isNotNull()), "moves")
         drop(moving)
