@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -34,33 +35,51 @@ def _splitter() -> regex.Pattern:
     return regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def segments(text: str, limit: int) -> list[tuple[bool, str]]:
-    """Cuts a long text into parts of about ``limit`` characters: (glued, part). Parts end where the tokenizer's own
-    split pattern ends a word; only a single word longer than ``limit`` is halved until its parts fit, and its parts
-    after the first are glued, i.e. tokens may span the join."""
-    out: list[tuple[bool, str]] = []
-    start = end = 0
+#: The characters that are white space to the split pattern (those of the Unicode property).
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def segments(text: str, limit: int) -> list[tuple[str, str]]:
+    """Cuts a long text into parts of about ``limit`` characters: (kind, part).
+
+    The kinds: ``text`` is encoded as any text; ``word`` is one word of the split pattern, encoded unsplit; ``more`` goes
+    on with the word before, and tokens may span the join. Parts of kind ``text`` end at the end of a word and never in
+    white space, because the pattern looks one character ahead there (a run of white space leaves its last character to
+    what follows). Where a word over ``limit`` comes after white space, that white space is given as words of its own.
+    Cuts before white space are preferred; only a single word over ``limit`` is halved until its parts fit.
+    """
+    out: list[tuple[str, str]] = []
+    start = safe = best = 0  # safe: the last place where a part may end, best: the last such place before white space
+    tail: list[tuple[int, int]] = []  # the words after safe, all white space
     for m in _splitter().finditer(text):
         a, b = m.span()
         if b - a > limit:
-            if a > start:
-                out.append((False, text[start:a]))
-            out.extend(_halves(text[a:b], limit, False))
-            start = b
-        elif b - start > limit and a > start:
-            out.append((False, text[start:a]))
-            start = a
-        end = b
-    if end > start:
-        out.append((False, text[start:end]))
+            if safe > start:
+                out.append(("text", text[start:safe]))
+            out.extend(("word", text[i:j]) for i, j in tail)
+            out.extend(("more" if k else "word", part) for k, part in enumerate(_halves(text[a:b], limit)))
+            start, safe, tail = b, b, []
+            continue
+        if b - start > limit and safe > start:
+            end = best if best > start else safe
+            out.append(("text", text[start:end]))
+            start = end
+        if text[b - 1] in _WHITE:
+            tail.append((a, b))
+        else:
+            safe, tail = b, []
+            if b < len(text) and text[b] in _WHITE:
+                best = b
+    if start < len(text):
+        out.append(("text", text[start:]))
     return out
 
 
-def _halves(word: str, limit: int, glued: bool) -> list[tuple[bool, str]]:
+def _halves(word: str, limit: int) -> list[str]:
     if len(word) <= limit:
-        return [(glued, word)]
+        return [word]
     mid = len(word) // 2
-    return _halves(word[:mid], limit, glued) + _halves(word[mid:], limit, True)
+    return _halves(word[:mid], limit) + _halves(word[mid:], limit)
 
 
 def join_encoded(enc: tiktoken.Encoding, a: np.ndarray, b: np.ndarray, window: int = 8) -> np.ndarray:
@@ -93,8 +112,27 @@ def encode_text(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
     return enc.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
 
 
-def encode_part(enc: tiktoken.Encoding, text: str, word: bool) -> np.ndarray:
-    return np.asarray(enc._core_bpe.encode_single_piece(text.encode()), np.uint32) if word else encode_text(enc, text)
+def encode_part(enc: tiktoken.Encoding, kind: str, text: str) -> np.ndarray:
+    return encode_text(enc, text) if kind == "text" else np.asarray(enc._core_bpe.encode_single_piece(text.encode()), np.uint32)
+
+
+def join_parts(enc: tiktoken.Encoding, parts: Iterable[tuple[str, np.ndarray]]) -> np.ndarray:
+    """The encoding of a text from those of its ``segments``, in order."""
+    words: list[list[np.ndarray]] = []
+    for kind, ids in parts:
+        words[-1].append(ids) if kind == "more" else words.append([ids])
+    return np.concatenate([np.empty(0, np.uint32), *[join_all(enc, w) for w in words]])
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``rows`` rows and about ``size`` bytes of column ``text``, at least a row each."""
+    length = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        most = np.searchsorted(length, (length[at - 1] if at else 0) + size, "right")
+        end = min(batch.num_rows, at + rows, max(at + 1, int(most)))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -125,8 +163,7 @@ def encode(df: DataFrame, text: str, out: str, *, path: str | None = None, count
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(file)
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
+            for part in slices(batch, at):
                 ids = [encode_text(enc, t.as_py()) for t in part.column(at)]
                 new = pa.array([len(x) for x in ids], pa.int64()) if count_only else _lists(ids)
                 yield pa.RecordBatch.from_arrays([*part.columns, new], [*names, out])
@@ -138,39 +175,32 @@ def encode(df: DataFrame, text: str, out: str, *, path: str | None = None, count
         for batch in batches:
             for sha, t in zip(batch.column(0), batch.column(1)):
                 parts = segments(t.as_py(), segment_chars)
-                word = [g or (k + 1 < len(parts) and parts[k + 1][0]) for k, (g, _) in enumerate(parts)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sha.as_py()] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([g for g, _ in parts]), pa.array(word), pa.array([p for _, p in parts])],
-                    ["sha", "no", "glued", "word", "part"],
-                )
+                for k in range(0, len(parts), 64):
+                    some = parts[k : k + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([sha.as_py()] * len(some)), pa.array(range(k, k + len(some)), pa.int32()), pa.array([p for p, _ in some]), pa.array([p for _, p in some])], ["sha", "no", "kind", "part"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(file)
         for b in batches:
-            for s in range(0, b.num_rows, 64):
-                x = b.slice(s, 64)
-                ids = _lists([encode_part(enc, p.as_py(), w.as_py()) for w, p in zip(x.column(3), x.column(4))])
-                yield pa.RecordBatch.from_arrays([*x.columns[:3], ids], ["sha", "no", "glued", "ids"])
+            for x in slices(b, 3):
+                ids = _lists([encode_part(enc, k.as_py(), p.as_py()) for k, p in zip(x.column(2), x.column(3))])
+                yield pa.RecordBatch.from_arrays([*x.columns[:3], ids], ["sha", "no", "kind", "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(file)
         for b in batches:
             for sha, parts in zip(b.column(0), b.column(1)):
-                words: list[list[np.ndarray]] = []
-                for p in parts:
-                    ids = p["ids"].values.to_numpy(zero_copy_only=False).astype(np.uint32)
-                    words[-1].append(ids) if p["glued"].as_py() else words.append([ids])
-                whole = np.concatenate([join_all(enc, w) for w in words])
+                whole = join_parts(enc, ((p["kind"].as_py(), p["ids"].values.to_numpy(zero_copy_only=False).astype(np.uint32)) for p in parts))
                 new = pa.array([len(whole)], pa.int64()) if count_only else _lists([whole])
                 yield pa.RecordBatch.from_arrays([pa.array([sha.as_py()]), new], ["_sha", out])
 
     far = df.where(is_long).withColumn("_sha", F.sha2(text, 256))
     ids = (
         far.select("_sha", text).dropDuplicates(["_sha"])
-        .mapInArrow(cut, "sha string, no int, glued boolean, word boolean, part string")
+        .mapInArrow(cut, "sha string, no int, kind string, part string")
         .repartition("sha", "no")
-        .mapInArrow(code, "sha string, no int, glued boolean, ids array<int>")
-        .groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("no", "glued", "ids"))).alias("parts"))
+        .mapInArrow(code, "sha string, no int, kind string, ids array<int>")
+        .groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("no", "kind", "ids"))).alias("parts"))
         .mapInArrow(join, f"_sha string, `{out}` {kind}")
     )
     return near.unionByName(far.join(ids, "_sha").drop("_sha"))
