@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import random
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,82 +14,104 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamesh.llm import lexicon as L
 from stratamesh.llm.boosting import BoostedTrees
+from stratamesh.llm.tokens import slices
+from stratamesh.llm.writer import Writer, luhn, plain
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-# Words that the generators and features know.
-TITLES = "mr mrs ms miss dr prof m mme mlle monsieur madame herr frau г-н г-жа sr sra señor señora don doña".split()
-TITLES_AFTER = "先生 女士 小姐".split()
-PLACE_WORDS = "lake upper lower port fort mount saint baie island harbour river bay landing north south east west new old".split()
-STREETS_EN = "street st road rd avenue ave boulevard blvd drive dr lane ln court ct crescent cres way place terrace square highway hwy trail".split()
-STREETS_FR = "rue chemin avenue av boulevard boul allée impasse place côte rang route ruelle quai".split()
-STREETS_DE = "straße strasse str weg platz gasse allee".split()
-STREETS_RU = "улица ул проспект пр-т пр переулок пер шоссе бульвар".split()
-STREETS_ES = "calle avenida av avda plaza paseo camino carretera".split()
-ABBREVIATED = "st rd ave blvd dr ln ct cres hwy av boul str ул пр пер avda".split()
-STREETS_ZH = "街 路 大道 巷".split()
-CUES_BEFORE = ["issued to", "forward it to", "délivré à", "suivre à", "expedido a", "remitir a", "weiterleiten an", "wurde für", "sagte uns", "на имя", "переслать:", "已发给", "请转交"]
-CUES_AFTER = ["told us", "nous a dit", "nos dijo", "сообщил", "告诉我们", "签收", "signed for", "keeps the list", "tient la liste"]
-PASSPORT = "passport passeport reisepass паспорт паспорта pasaporte 护照".split()
-
-_LETTERS = r"(?:\p{Latin}|\p{M})"
-_WORD = rf"(?:{_LETTERS}+(?:[-'’]{_LETTERS}+)*|(?:\p{{Cyrillic}}|\p{{M}})+(?:-\p{{Cyrillic}}+)*)"
-_GAP = r"[ \xa0\t  ]{1,3}"
-_TOKEN = regex.compile(_WORD)
-_BETWEEN = regex.compile(rf"(?P<a>{_GAP})|{_GAP}?(?:(?P<i>\p{{Lu}})\.?){_GAP}|(?P<c>,{_GAP})")
-_CONTEXT = regex.compile(r"\p{Latin}[\p{Latin}\p{M}'’-]*|\p{Cyrillic}[\p{Cyrillic}-]*|\d+|\p{Han}|\S")
-_AT = r"(?:[@＠]|\s?[(\[{]\s?(?:at|arobase|@)\s?[)\]}]\s?)"
-_DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|point|punkt|punto)\s?[)\]}]\s?)"
-_LABEL = r"[\p{Latin}\d](?:[\p{Latin}\d-]*[\p{Latin}\d])?"
-_EMAIL = regex.compile(
-    rf"(?P<local>[\p{{Latin}}\d](?:[\p{{Latin}}\d._%+'-]*[\p{{Latin}}\d_])?)(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+|\s(?:at|arobase)\s{_LABEL}(?:\s(?:dot|point)\s{_LABEL})+)",
-    regex.I,
+_LATIN = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff"
+_MARK = "\u0300-\u036f"
+_WORD = re.compile(rf"[{_LATIN}][{_LATIN}{_MARK}]*(?:[-‐‑'’][{_LATIN}][{_LATIN}{_MARK}]*)*|[\u0400-\u052f][\u0400-\u052f{_MARK}]*(?:-[\u0400-\u052f]+)*")
+_BLANK = " \t\xa0\u2002\u2003\u2009\u202f\u3000"
+_GAP = re.compile(rf"[{_BLANK}]{{1,3}}|(,[{_BLANK}]{{1,2}})")
+_CONTEXT = re.compile(rf"[{_LATIN}][{_LATIN}{_MARK}'’-]*|[\u0400-\u052f]+|\d+|\S")
+_AT = r"(?:[@＠]|[ ]?[(\[{<][ ]?(?:at|arobase|@|собака|en)[ ]?[)\]}>][ ]?)"
+_DOT = r"(?:\.|[ ]?[(\[{<][ ]?(?:dot|point|punkt|punto|точка)[ ]?[)\]}>][ ]?)"
+_LABEL = rf"[{_LATIN}\d](?:[{_LATIN}\d-]*[{_LATIN}\d])?"
+_EMAIL = re.compile(
+    rf"(?<![{_LATIN}\d._%+-])(?P<local>[{_LATIN}\d](?:[{_LATIN}\d._%+'-]*[{_LATIN}\d_])?)(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+|[ ](?:at|arobase|AT)[ ]{_LABEL}(?:[ ](?:dot|point|DOT)[ ]{_LABEL})+)",
+    re.I,
 )
+_SPELLED = re.compile(r"[(\[{<][ ]?(?:at|arobase|собака|en)[ ]?[)\]}>]|[ ](?:dot|point)[ ]", re.I)
 # digit runs are possessive, so that long ones are read once; whole groups at the end are given back where a letter follows
-_PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}+|\(\d{1,4}\)|\d++)(?:[ \xa0  .‑–/-]?(?:\(\d{1,4}\)|\d++|(?<=\)) \d++))*(?![\p{Latin}\d])")
-_GROUP = regex.compile(r"\+ ?\d+|\(\d+\)|\d+")
-_SPELLED = regex.compile(r"[(\[{]\s?(?:at|arobase)|\s(?:dot|point)\s", regex.I)
-_NINE = regex.compile(r"(?<![\p{Latin}\d.‑/+-])\d{3}([ \xa0  ‑.-]?)\d{3}\1\d{3}(?![\p{Latin}\d])")
-_PASS = regex.compile(r"(?<![\p{Latin}\d-])\p{Latin}{1,2}[ \xa0]?\d{6,8}(?![\p{Latin}\d])")
-_NUM = r"\d{1,5}(?:½|[ \xa0]?(?:bis|ter|quater)\b|[A-Za-z]\b)?"
-_SEP = r"(?:,?[ \xa0])"
-_W = r"(?:\p{L}|\p{M}|['’-])+"
+_PHONE = regex.compile(r"(?<![\p{Latin}\d@.,:/#_‑-])(?:\+ ?\d{1,3}+|\(\d{1,5}\)|\d++)(?:[ \xa0  .‑–/-]?(?:\(\d{1,5}\)|\d++|(?<=\)) \d++))*(?![\p{Latin}\d])")
+_GROUP = re.compile(r"\+ ?\d+|\(\d+\)|\d+")
+_NINE = re.compile(rf"(?<![{_LATIN}\d.‑/+-])\d{{3}}([ \xa0\u2002\u2009‑.-]?)\d{{3}}\1\d{{3}}(?![{_LATIN}\d])")
+_PASS = re.compile(rf"(?<![{_LATIN}\d-])(?:[A-Za-z]{{1,3}}[ \xa0]?\d{{5,8}}|\d{{8,9}}|\d{{2}} ?\d{{2}} ?\d{{6}}|\d{{2}}[A-Z]{{2}}\d{{5}}|(?=[A-Z]*\d)[A-Z][A-Z0-9]{{8}})(?![{_LATIN}\d])")
 
 
 def _alt(words: list[str]) -> str:
-    ended = r"(?![\p{Latin}\p{M}\p{Cyrillic}\d])"
-    return "(?:" + "|".join(regex.escape(w) + ended + (r"\.?" if w in ABBREVIATED else "") for w in sorted(words, key=len, reverse=True)) + ")"
-
-
-_TITLED = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.?\s+", regex.I)
-_CUE = regex.compile(r"\s?[(（](?=\S+\s?[@＠(\[])")
-_CUE_BEFORE = regex.compile("(?:" + "|".join(map(regex.escape, CUES_BEFORE)) + r")\s*", regex.I)
-_CUE_AFTER = regex.compile(r",?\s?(?=" + "|".join(map(regex.escape, CUES_AFTER)) + r"|(?:of|de|из|aus) \p{Lu}\S*(?: \p{Lu}\S*)?,? (?:signed|a signé|подписал|hat unter|firmó))")
-_STREET_SET, _TITLE_SET, _PLACE_SET = set(STREETS_EN), set(TITLES), set(PLACE_WORDS)
-_ADDRESS = [
-    ("en", regex.compile(rf"(?<![\p{{Latin}}\d.,:/])(?P<num>{_NUM}){_SEP}{_W}(?:[ \xa0]{_W}){{0,2}}?[ \xa0]{_alt(STREETS_EN)}", regex.I)),
-    ("fr", regex.compile(rf"(?<![\p{{Latin}}\d.,:/])(?P<num>{_NUM}){_SEP}{_alt(STREETS_FR)}[ \xa0](?:d[eu][ \xa0]|de la[ \xa0]|des[ \xa0])?{_W}", regex.I)),
-    ("de", regex.compile(rf"(?<![\p{{Latin}}\d])(?:{_W}(?:{'|'.join(STREETS_DE)})\b\.?|{_W}[ -](?:Straße|Strasse|Weg|Platz|Allee)){_SEP}(?P<num>{_NUM})", regex.I)),
-    ("ru", regex.compile(rf"(?<!\p{{L}}){_alt(STREETS_RU)}[ \xa0]?{_W}{_SEP}?(?:(?:дом|д)\b\.?[ \xa0]?)?(?P<num>{_NUM})", regex.I)),
-    ("es", regex.compile(rf"(?<!\p{{L}}){_alt(STREETS_ES)}[ \xa0](?:de[ \xa0]|de la[ \xa0]|del[ \xa0])?{_W}{_SEP}(?:n\.?º[ ]?)?(?P<num>{_NUM})", regex.I)),
-    ("zh", regex.compile(rf"(?:{_LETTERS}(?:{_LETTERS}|['’-])*|\p{{Han}}{{2,4}}?)(?:{'|'.join(STREETS_ZH)})(?P<num>\d{{1,5}})(?:号|號)")),
+    return "(?:" + "|".join(re.escape(w) + (r"(?!\w)" if w[-1].isalpha() else "") + (r"\.?" if w in L.ABBREVIATED else "") for w in sorted(set(words), key=len, reverse=True)) + ")"
+
+
+_W = rf"[{_LATIN}\u0400-\u052f](?:[{_LATIN}\u0400-\u052f{_MARK}]|['’-](?=[{_LATIN}\u0400-\u052f]))*"
+_SP = f"[{_BLANK}]"
+_HOUSE = rf"\d{{1,5}}(?:½|-?[A-Za-z](?![{_LATIN}\d])|{_SP}(?:bis|ter|quater)\b)?"
+_LINK = rf"(?:(?:de|du|des|del|la|le|les|los|las|el|der|den|dem)(?!\w){_SP}|[dl]['’])*"
+_NUMBER = re.compile(rf"(?<![{_LATIN}\u0400-\u052f\d.,:/]){_HOUSE}")
+# number first: the rest is matched after a number; street first: searched from the street's word on
+_AFTER = [
+    ("en", re.compile(rf",?{_SP}(?:{_W}\.?{_SP}){{1,3}}?{_alt(L.STREETS_EN)}", re.I)),
+    ("fr", re.compile(rf",?{_SP}{_alt(L.STREETS_FR)}{_SP}{_LINK}(?:{_W}|\d{{1,2}}{_SP}{_W})(?:{_SP}(?-i:[A-ZÀ-Þ]){_W})?", re.I)),
 ]
-
-
-_ADDRESS_WORDS = {"en": STREETS_EN, "fr": STREETS_FR, "de": STREETS_DE, "ru": STREETS_RU, "es": STREETS_ES, "zh": ("号", "號")}
+_STREET = [
+    ("de", re.compile(rf"(?<!\w)(?:{_W}(?:straße|strasse|weg|platz|gasse|allee|ufer|damm|ring|str\.)|{_W}[ -](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Ring|Gasse)){_SP}{_HOUSE}", re.I), ("str", "weg", "platz", "gasse", "allee", "ufer", "damm", "ring")),
+    ("ru", re.compile(rf"(?<!\w)(?:{_alt(L.STREETS_RU)}{_SP}?(?:{_W}|\d+-[йя]{_SP}{_W})(?:{_SP}{_W})?|{_W}{_SP}{_alt(L.STREETS_RU)}),?{_SP}?(?:(?:дом|д)(?!\w)\.?{_SP}?)?\d{{1,5}}(?!\d)", re.I), tuple(w for w in L.STREETS_RU if len(w) > 1)),
+    ("es", re.compile(rf"(?<!\w){_alt(L.STREETS_ES)}{_SP}{_LINK}{_W}(?:{_SP}{_W})?(?:,?{_SP}(?:n\.?{_SP}?[º°o]\.?{_SP}?|núm(?:ero|\.){_SP}?|#{_SP}?)?){_HOUSE}(?!\d)", re.I), tuple(L.STREETS_ES)),
+    ("zh", re.compile(rf"(?:[{_LATIN}](?:[{_LATIN}]|['’-])*|[\u4e00-\u9fff]{{2,4}}?)(?:{'|'.join(L.STREETS_ZH)})\d{{1,5}}(?:号|號)"), ("号", "號")),
+]
+_HAS_DIGIT = re.compile(r"\d")
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(L.TITLES, key=len, reverse=True)))})\.?[{_BLANK}\n]{{1,2}}", re.I)
+_RUSSIAN_ENDS = ("а", "у", "ом", "ем", "ой", "ей", "е", "ы", "и", "ю", "я", "ю", "ь", "й", "ым")
 
 
 def _fold(s: str) -> str:
-    return unicodedata.normalize("NFC", s).casefold()
+    return (s if s.isascii() else unicodedata.normalize("NFC", s)).casefold()
 
 
+@lru_cache(maxsize=1 << 16)
 def _shape(w: str) -> str:
-    return "U" if w.isupper() else "l" if w.islower() else "T" if w[0].isupper() else "m"
+    if len(w) > 1 and w.isupper():
+        return "U"
+    return "l" if w.islower() else "T" if w[0].isupper() else "m"
+
+
+@lru_cache(maxsize=1 << 16)
+def _classes(w: str) -> tuple[str, ...]:
+    """The word lists that a folded word, or a part of it between hyphens, is in."""
+    parts = (w, *w.split("-")) if "-" in w else (w,)
+    return tuple(name for name, words in (("place", L.PLACE_WORDS), ("org", L.ORG_WORDS), ("stop", L.STOP_WORDS), ("date", L.CALENDAR), ("street", _STREETS), ("title", L.TITLES), ("filler", _FILLERS)) if any(p in words for p in parts))
+
+
+_STREETS = frozenset([*L.STREETS_EN, *L.STREETS_FR, *L.STREETS_DE, *L.STREETS_RU, *L.STREETS_ES])
+_FILLERS = frozenset(w.casefold() for words in L.FILLER.values() for w in words)
+_PAIRS = frozenset(_fold(p) for p in L.CAPITAL_PAIRS)
+_FAMILY = frozenset(map(_fold, [*L.FAMILY_LATIN, *L.FAMILY_CYRILLIC]))
+
+
+def _stems(w: str) -> set[str]:
+    """A Cyrillic word and what is left of it without a case ending."""
+    return {w, *(w[: -len(e)] for e in _RUSSIAN_ENDS if w.endswith(e) and len(w) > len(e) + 2)}
 
 
-def luhn(digits: str) -> bool:
-    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+class Names:
+    """Given names (of the reference list and the lexicon) and family names, told from any case of a Cyrillic one."""
+
+    def __init__(self, given: Iterable[str]) -> None:
+        self.given = frozenset(map(_fold, given))
+        every = self.given | frozenset(map(_fold, [*L.GIVEN_LATIN, *L.GIVEN_CYRILLIC]))
+        self._given = every | {s for w in every if w[0] > "Ѐ" for s in _stems(w)}
+        self._family = _FAMILY | {s for w in _FAMILY if w[0] > "Ѐ" for s in _stems(w)}
+        self.is_given, self.is_family = lru_cache(1 << 16)(lambda w: self._in(w, self._given)), lru_cache(1 << 16)(lambda w: self._in(w, self._family))
+
+    @staticmethod
+    def _in(w: str, words: Iterable[str]) -> bool:
+        return w in words or (w[0] > "Ѐ" and not words.isdisjoint(_stems(w))) or ("-" in w and w.split("-")[0] in words)
+
+    def __reduce__(self):
+        return Names, (sorted(self.given),)
 
 
 @dataclass
@@ -96,276 +119,165 @@ class Candidate:
     kind: str
     start: int
     end: int
-    features: set[str]
+    features: list[str]
 
 
-def _around(text: str, start: int, end: int) -> set[str]:
+def _around(text: str, start: int, end: int) -> list[str]:
     """The words and marks near a span; digits count as one."""
-    left = [_fold(w) if not w.isdigit() else "#" for w in _CONTEXT.findall(text, max(0, start - 32), start)][-3:][::-1]
-    right = [_fold(w) if not w.isdigit() else "#" for w in _CONTEXT.findall(text, end, min(len(text), end + 32))][:4]
-    f = {f"L{k}={w}" for k, w in enumerate(left)} | {f"R{k}={w}" for k, w in enumerate(right)}
-    f |= {f"near={w}" for w in (*left, *right)}
-    if start == 0:
-        f.add("first")
-    if end == len(text):
-        f.add("last")
-    if start and not text[start - 1].isspace():
-        f.add("touch=" + (text[start - 1] if not text[start - 1].isalnum() else "x"))
+    left = ["#" if w.isdigit() else _fold(w) for w in _CONTEXT.findall(text, max(0, start - 32), start)[-3:]][::-1]
+    right = ["#" if w.isdigit() else _fold(w) for w in _CONTEXT.findall(text, end, min(len(text), end + 32))[:3]]
+    f = [f"L{k}={w}" for k, w in enumerate(left)]
+    f += [f"R{k}={w}" for k, w in enumerate(right)]
+    f += [f"near={w}" for w in {*left, *right}]
+    for side, words in (("L", left), ("R", right)):
+        if words:
+            f += [f"{side}is={c}" for c in _classes(words[0])]
+    if not left:
+        f.append("first")
+    elif not text[start - 1].isspace():
+        f.append("touch=" + (text[start - 1] if not text[start - 1].isalnum() else "x"))
+    if not right:
+        f.append("last")
+    elif end < len(text) and text[end] == "\n":
+        f.append("ends line")
+    if "\n" in text[max(0, start - 2) : start]:
+        f.append("starts line")
     return f
 
 
-def _groups(s: str) -> str:
-    return regex.sub(r"\d+", lambda m: str(len(m[0])), s)
-
-
-def candidates(text: str, given: frozenset[str]) -> Iterator[Candidate]:
-    """Every span that may be a mention; spans overlap freely."""
-    for m in _EMAIL.finditer(text) if "@" in text or "＠" in text or _SPELLED.search(text) else ():
-        yield Candidate("email", m.start(), m.end(), _around(text, m.start(), m.end()) | {"sign" if "@" in m[0] else "spelled", "domain=" + str(len(regex.findall(_DOT, m[0][len(m["local"]) :])))})
-    for m in _PHONE.finditer(text):
-        groups = [(g.start(), g.end(), sum(c.isdigit() for c in g[0])) for g in _GROUP.finditer(text, m.start(), m.end())]
-        for i, (s, _, _) in enumerate(groups):
-            n = 0
-            for j in range(i, len(groups)):
-                e, n = groups[j][1], n + groups[j][2]
-                if n > 15:
-                    break
-                if n >= 8:
-                    t = text[s:e]
-                    ends = {"whole" if s == m.start() else "part", "to end" if e == m.end() else "to inside"}
-                    yield Candidate("phone", s, e, _around(text, s, e) | ends | {f"digits={n}", "mask=" + _groups(t), "plus" if "+" in t[:1] else "noplus", "begins=" + t[:2], f"groups={j - i + 1}", "seps=" + "".join(sorted(set(regex.sub(r"\d", "", t))))})
-    for m in _NINE.finditer(text):
-        yield Candidate("id_number", m.start(), m.end(), _around(text, m.start(), m.end()) | {"luhn" if luhn(regex.sub(r"\D", "", m[0])) else "noluhn", "nine"})
-    for m in _PASS.finditer(text):
-        f = _around(text, m.start(), m.end())
-        before = _fold(text[max(0, m.start() - 14) : m.start()])
-        if any(w in before for w in PASSPORT):
-            f.add("passport")
-        yield Candidate("id_number", m.start(), m.end(), f | {"letters", f"digits={sum(c.isdigit() for c in m[0])}"})
-    low = text.lower()
-    for lang, rx in _ADDRESS:
-        if not any(w in low for w in _ADDRESS_WORDS[lang]):
-            continue
-        for m in rx.finditer(text, overlapped=True):
-            yield Candidate("address", m.start(), m.end(), _around(text, m.start(), m.end()) | {f"form={lang}", f"house={len(regex.sub(r'[^0-9]', '', m['num']))}", "shape=" + "".join(_shape(w) for w in regex.findall(r"\p{L}+", m[0]))[:6]})
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    words = [text[a:b] for a, b in tokens]
-    folded = [_fold(w) for w in words]
-    shapes = [_shape(w) for w in words]
-    titled_at = {m.end() for m in _TITLED.finditer(text)}
-    titled_at |= {m.end() for m in _CUE_BEFORE.finditer(text)}
-    cue_at = {m.start() for m in _CUE.finditer(text)} | {m.start() for m in _CUE_AFTER.finditer(text)}
-    for k, (a, b) in enumerate(tokens):
+def _names(text: str, names: Names) -> Iterator[Candidate]:
+    """Spans of two or three words that may be a person: capitalised ones, and ones in lower case where a word is a known
+    name or a title stands before; with a comma, initials or particles between."""
+    tokens = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+    if len(tokens) < 2:
+        return
+    shapes = [_shape(w) for _, _, w in tokens]
+    n, titled = len(tokens), {m.end() for m in _TITLED.finditer(text)}
+    for k in range(n - 1):
+        a, b, w = tokens[k]
         capital = shapes[k] in "TU"
-        g1, titled = folded[k] in given, a in titled_at
-        for j in (k + 1, k + 2):
-            if j >= len(tokens):
-                break
-            c, d = tokens[j]
-            if c - b > 8:
+        titled_here = a in titled
+        low_ok = not capital and (titled_here or names.is_given(_fold(w)))
+        initials = b - a == 1 and w.isupper() and text[b : b + 1] == "."
+        if (b - a < 2 and not initials) or not (capital or low_ok or shapes[k + 1] in "lTU" and names.is_given(_fold(tokens[k + 1][2]))):
+            continue
+        if k and capital and text[a - 1] in "-'’" and tokens[k - 1][1] == a - 1:
+            continue
+        # goes on word by word: an initial or a particle may stand between, then the next word ends a span
+        form, words, at = "i" if initials else "", [_fold(w)], k
+        while at + 1 < n and len(words) < 4:
+            c, d, v = tokens[at + 1]
+            e = tokens[at][1]
+            if len(tokens[at][2]) == 1 and text[e : e + 1] == "." and (at > k or initials):
+                e += 1
+            g = _GAP.fullmatch(text, e, c)
+            if not g or (g[1] and (form or len(words) > 1 or initials)):
                 break
-            g2, after = folded[j] in given, text[d : d + 2] in TITLES_AFTER
-            cued = titled or after or d in cue_at
-            if not (g1 or g2 or cued or (capital and shapes[j] in "TU")) or b - a < 2 or d - c < 2:
-                continue
-            m = _BETWEEN.fullmatch(text, b, c)
-            if not m:
-                continue
-            form = "A" if m["a"] else "C" if m["c"] else "I"
-            if (j == k + 2) != (form == "I"):
-                continue
-            f = _around(text, a, d) | {f"form={form}", f"shapes={shapes[k]}{shapes[j]}", f"w1={folded[k]}", f"w2={folded[j]}"}
-            f |= {x for x, on in (("g1", g1), ("g2", g2), ("titled", titled), ("after", after), ("cued", cued), ("g1only", g1 and not g2), ("g2only", g2 and not g1), ("given", g1 or g2)) if on}
-            f |= {x for x, on in (("place1", folded[k].split("-")[0] in _PLACE_SET), ("place2", folded[j].split("-")[-1] in (*PLACE_WORDS, "pins")), ("street", folded[j] in _STREET_SET), ("title1", folded[k] in _TITLE_SET), ("title2", folded[j] in _TITLE_SET)) if on}
-            yield Candidate("name", a, d, f)
-
-
-# Sentences for the training sample. {n} name, {e} e-mail, {p} phone, {s} insurance number, {k} passport
-# number, {a} address are mentions; {c} place, {d} date, {x} look-alike code, {r} street without number, {q} number,
-# {g} given name as an ordinary word, {w} filler are not. {m} is a name in plain capitals.
-_SENTENCES = {
-    "en": [
-        "Passport {k} was issued to {n}.", "My SIN is {s}, I live at {a}.", "The applicant gave social insurance number {s} and left.", "{n} ({e}, {p}) keeps the list.",
-        "Please forward it to {n}, {a}, {c}.", "Heard: Ms. {n}; absent: Mr. {n}.", "On {d} {n} told us that the map was lost.", "{n} of {c} signed for the road.", "Call {p} after eight.",
-        "Questions go to {e} before {d}.", "The house at {a} was shown on {d}.", "Dr. {n} wrote to {e}.", "Mrs {n} of {c} lives at {a}.", "Tel. {p}, ask for {n}.", "Write to {n} <{e}>.", "Signed by {n} on {d}.",
-        "The file {x} was closed on {d}.", "Sheet {x} shows the road at a scale of 1:{q}.", "The file {r} was closed on {d}.", "Sheet {r} shows the road at a scale of 1:{q}.", "Nobody in {c} remembers who drew the map.",
-        "From {d} the unit is called {c}, and its capital stays where it was.", "About {q} people still live within sight of {c}.", "In {c}, the council moved the map after the flood.", "Does the map belong to {c}? The council says it doesn't.",
-        "The council described the map near {c} on {d}.", "It won't vote before {d}.", "They wrote, until {c} agrees.", "In {g} the {r} floods.", "The council sold the map for {q} dollars.", "The Land Registry met the Harbour Master in {c}.", "{w} {w} {c} {w}.", "{c} {w} {w}.", "{w} {m} {w} {w}.", "{w} {w} {m}.", "ﷺIn {c}, the {w} {w}.", "From {w} In {c} the {w}.", "The {w} of {c} ({w} {w}) {w}.", "{g} {w} {w}.",
-    ],
-    "fr": [
-        "Le passeport {k} a été délivré à {n}.", "Mon NAS est {s}, j'habite au {a}.", "La personne a donné le numéro d'assurance sociale {s} et est partie.", "{n} ({e}, {p}) tient la liste.",
-        "Prière de faire suivre à {n}, {a}, {c}.", "Entendue\xa0: Mme {n}; absent\xa0: M. {n}.", "Le {d}, {n} nous a dit que la carte était perdue.", "{n}, de {c}, a signé pour la route.", "Appelez le {p} après huit heures.",
-        "Les questions vont à {e} avant le {d}.", "La maison au {a} a été montrée le {d}.",
-        "Le dossier {x} a été fermé le {d}.", "La feuille {x} montre la route à l'échelle 1:{q}.", "Le dossier {r} a été fermé le {d}.", "La feuille {r} montre la carte à l'échelle 1:{q}.", "Personne à {c} ne se rappelle qui a tracé la carte.",
-        "À partir du {d}, l'unité s'appelle {c}, et sa capitale reste.", "Environ {q} personnes vivent encore en vue de {c}.", "À {c}, le conseil a déplacé la carte.", "Est-ce que la carte appartient à {c}\xa0? Le conseil dit que non.", "Le conseil a décrit la carte près de {c} le {d}.", "« Nous garderons la carte, tant que {c} le voudra. »", "{w} {c} {w} {w}.", "À {c}, l'{w} a {w}.", "{w}À {c}, la {w} {w}.", "Après {w}, {m} {w}.",
-    ],
-    "de": [
-        "Der Reisepass {k} wurde für {n} ausgestellt.", "Meine Versicherungsnummer ist {s}, ich wohne {a}.", "Angegeben wurde die Sozialversicherungsnummer {s}.", "{n} ({e}, {p}) führt die Liste.", "Bitte weiterleiten an {n}, {a}, {c}.",
-        "Gehört: Frau {n}; abwesend: Herr {n}.", "Am {d} sagte uns {n}, man habe die Karte verloren.", "{n} aus {c} hat unterschrieben.", "{n} aus {c} unterschrieb für die Straße.", "Rufen Sie nach acht {p} an.", "Fragen gehen vor dem {d} an {e}.", "Das Haus {a} wurde am {d} gezeigt.",
-        "Die Akte {x} wurde am {d} geschlossen.", "Blatt {x} zeigt die Straße im Maßstab 1:{q}.", "Blatt {r} zeigt die Winterstraße im Maßstab 1:{q}.", "Niemand in {c} weiß noch, wer die Karte gezeichnet hat.", "Ab dem {d} heißt die Einheit {c}, und ihre Hauptstadt bleibt.", "Etwa {q} Menschen leben noch in Sichtweite von {c}.", "In {c} verlegte der Stadtrat die Winterstraße.", "Darf {c} die Karte behalten? Der Stadtrat sagt nein.", "Der Rat vermaß die Winterstraße {q} Mal.", "Das Amt beschrieb am {d} die Karte bei {c}.", "„Wir behalten die Karte“, schrieb der Rat, „bis {c} zustimmt.“", "{w} {c} {w}.",
-    ],
-    "ru": [
-        "Паспорт {k} выдан на имя {n}.", "Мой страховой номер {s}, адрес {a}.", "Заявитель назвал номер социального страхования {s}.", "{n} ({e}, {p}) ведёт список.", "Просьба переслать: {n}, {a}, {c}.", "Слушали: г-жа {n}; нет: г-н {n}.",
-        "{d} {n} сообщил нам, что карта утеряна.", "{n} из {c} подписал.", "Звоните {p} после восьми.", "Вопросы присылайте на {e} до {d}.", "Дом по адресу {a} показан {d}.",
-        "Дело {x} закрыто {d}.", "Лист {x} показывает карту в масштабе 1:{q}.", "Дело {r} закрыто {d}.", "Никто в {c} не помнит, кто чертил карту.", "С {d} единица зовётся {c}, а столица остаётся прежней.", "Около {q} человек всё ещё живут близ {c}.", "В районе {c} управа перенесла карту.", "Отдать ли карту общине {c}? Дума против.", "Палата описала карту возле {c} {d}.", "«Мы сохраним карту, пока {c} не согласится».",
-    ],
-    "zh": [
-        "护照{k}已发给{n}。", "我的保险号是{s}，住在{a}。", "申请人提供了社会保险号{s}后离开。", "{n}（{e}，{p}）保管名单。", "请转交{n}，{a}，{c}。", "到场：{n}女士；缺席：{n}先生。", "1901年5月6日，{n}告诉我们地图丢失了。", "{c}的{n}签收了地图。", "八点以后请拨打{p}。", "问题请在1901年5月6日之前发至{e}。", "{a}的房子于1901年5月6日展示。",
-        "卷宗{x}于1901年5月6日结案。", "图幅{x}以1:{q}的比例显示地图。", "卷宗{r}于1901年5月6日结案。", "{c}没有人记得是谁画了地图。", "自1901年5月6日起，该单位称为{c}，首府不变。", "大约{q}人仍住在能看见{c}的地方。", "在{c}，议会迁移了地图。", "地图属于{c}吗？议会说不是。", "1901年5月6日，测量局描述了{c}附近的渡口。", "“我们会保留地图，”议会写道，“直到{c}同意。”", "议会在{c}迁移了地图。", "在{c}，学校董事会在洪水之后迁移了灯塔。", "{c}在洪水之后。", "图幅{r}显示{c}。",
-    ],
-    "es": [
-        "El pasaporte {k} fue expedido a {n}.", "Mi número de seguro es {s}, vivo en {a}.", "{n} ({e}, {p}) guarda la lista.", "Favor de remitir a {n}, {a}, {c}.", "Presente: Sra. {n}; ausente: Sr. {n}.", "El {d} {n} nos dijo que el mapa se perdió.", "{n}, de {c}, firmó.", "Llame al {p} después de las ocho.", "Las preguntas van a {e} antes del {d}.", "La casa en {a} se mostró el {d}.",
-        "El expediente {x} se cerró el {d}.", "La hoja {x} muestra el mapa a escala 1:{q}.", "El expediente {r} se cerró el {d}.", "Nadie en {c} recuerda quién trazó el mapa.", "Desde el {d} la unidad se llama {c}.", "Unas {q} personas viven aún a la vista de {c}.", "En {c}, el consejo movió el mapa.", "¿El mapa pertenece a {c}? El consejo dice que no.", "El consejo describió el mapa cerca de {c} el {d}.", "«Guardaremos el mapa», escribió, «hasta que {c} acepte.»",
-    ],
-}
-#: More sentences for phones alone: phones in lists, after and before other numbers. {h} house-like numbers, {o} a number that touches a letter.
-_LISTED = {
-    "en": ["Call {p} {p}.", "{p} {p} {p}", "Phones: {p}, {p}.", "{p} / {p}", "Room {h} {p}.", "{h} {p} {h}", "Call {p} {o} floor.", "{p} {o} {w}", "Call {p}; {n}, {p}.", "The sheet {h} {h} {w}.", "{h} {h}", "{p} {a}", "Tel. {p} - {p}."],
-    "fr": ["Appelez le {p} {p}.", "Salle {h} {p}.", "{p} {o} étage", "{p}, {p} {p}.", "La feuille {h} {h} {w}."],
-    "de": ["Rufen Sie {p} {p} an.", "Zimmer {h} {p}.", "{p} {o} {w}", "Blatt {h} {h} {w}."],
-    "ru": ["Звоните {p} {p}.", "Комната {h} {p}.", "{p} {h} {w}", "Лист {h} {h} {w}."],
-    "zh": ["请拨打{p} {p}。", "房间{h} {p}。", "{p}，{p} {p}", "图幅{h} {h}。"],
-    "es": ["Llame al {p} {p}.", "Sala {h} {p}.", "{p} {o} piso", "La hoja {h} {h} {w}."],
-}
-_MONTHS = {
-    "en": "January February March April May June July August September October November December".split(),
-    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
-    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
-    "ru": "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split(),
-    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
-}
-_ORDINARY = "lake may june hope grace frost mercy april rose summer".split()
-
-
-class _Writer:
-    """Writes training texts with the places of their mentions."""
-
-    def __init__(self, given: list[str], seed: int) -> None:
-        self.r = random.Random(seed)
-        self.latin = sorted(g for g in given if g[0] < "ʰ") or ["Ada"]
-        self.cyrillic = sorted(g for g in given if "Ѐ" <= g[0] <= "ӿ") or ["Ада"]
-
-    def _made(self, cyrillic: bool = False, n: int = 0) -> str:
-        c, v = ("бвгдзклмнпрстх", "аеиоуя") if cyrillic else ("bcdfghjklmnprstvwz", "aeiouyé")
-        return "".join(self.r.choice(c) + self.r.choice(v) for _ in range(n or self.r.choice((2, 2, 3, 4)))).capitalize() + (self.r.choice("нкшв") if cyrillic else self.r.choice(("", "n", "r", "th", "ck", "rd", "st")))
-
-    def n(self, lang: str) -> str:
-        r = self.r
-        ru = lang == "ru" and r.random() < 0.7
-        first = self._made(ru) if r.random() < 0.3 else r.choice(self.cyrillic if ru else self.latin)
-        last = self._made(ru) + (f"-{self._made(ru)}" if r.random() < 0.12 else "")
-        style = r.random()
-        if style < 0.15:
-            return f"{last.upper()}, {first}" if r.random() < 0.8 else f"{last}, {first}"
-        mid = f" {r.choice('АВГЛНС' if ru else 'ABCDGHJLMQXZ')}." if r.random() < 0.15 else ""
-        s = f"{first}{mid} {last}"
-        return s.upper() if style < 0.3 else s.lower() if style < 0.42 and not mid else s
-
-    def e(self, lang: str) -> str:
-        r = self.r
-        a, b = _plain(r.choice(self.latin)).lower(), self._made().lower().replace("é", "e")
-        local = r.choice([f"{a}.{b}", f"{a[0]}{b}", f"{b}_{a}{r.randrange(99)}", f"{a}-{b}", f"{a}+{b[:4]}"])
-        dom = r.choice([["lakes", "test"], ["mail", "example", "net"], ["example", "org"], ["north", "invalid"], [self._made().lower().replace("é", "e"), "example"]])
-        s = r.choice([f"{local}@{'.'.join(dom)}"] * 4 + [f"{local}＠{'.'.join(dom)}", f"{local} (at) {'.'.join(dom)}", f"{local} [at] {' [dot] '.join(dom)}"])
-        return s.upper() if r.random() < 0.1 and "[" not in s and "(" not in s else s
-
-    def p(self, lang: str) -> str:
-        r = self.r
-        a, b, c = r.choice(["418", "506", "604", "705", "902", "250"]), f"{r.randrange(200, 999)}", f"{r.randrange(10000):04d}"
-        sep = r.choice(["-", " ", ".", "‑"])
-        s = r.choice([sep.join([a, b, c])] * 3 + [f"({a}) {b}-{c}", f"+1 {a} {b} {c}", f"1-{a}-{b}-{c}", f"+1{a}{b}{c}", f"020 7946 {c}", f"+44 20 7946 {c}", f"01 99 00 {c[:2]} {c[2:]}", f"+33 1 99 00 {c[:2]} {c[2:]}", f"030/23125{c[:3]}", f"+49 (0)30 23125 {c[:3]}"])
-        return s + (f" ext. {r.randrange(100, 999)}" if r.random() < 0.1 else "")
-
-    def _nine(self, good: bool) -> str:
-        while True:
-            d = f"{self.r.randrange(10**9):09d}"
-            if luhn(d) == good:
-                return self.r.choice(["", "-", " ", "\xa0"]).join([d[:3], d[3:6], d[6:]])
-
-    def s(self, lang: str) -> str:
-        return self._nine(True)
-
-    def k(self, lang: str) -> str:
-        return self.r.choice("ABCDEFGHMPQRSTVWXYZ") + self.r.choice("ABEGHKNPRSTUWY") + self.r.choice(["", "", " "]) + f"{self.r.randrange(10**6):06d}"
-
-    def a(self, lang: str) -> str:
-        r, w = self.r, self._made().replace("é", "e")
-        num = f"{r.randrange(1, 3000)}"
-        if lang == "fr" and r.random() < 0.8:
-            return f"{num}{r.choice(['', '', ' bis'])}{r.choice([' ', ', '])}{r.choice(['rue', 'chemin', 'avenue', 'boul.'])} {w}"
-        if lang == "de" and r.random() < 0.8:
-            return f"{w}{r.choice(['straße', 'weg', 'str.'])} {num}{r.choice(['', 'a'])}"
-        if lang == "ru" and r.random() < 0.8:
-            return r.choice([f"ул. {w}, д. {num}", f"улица {w}, дом {num}"])
-        if lang == "zh" and r.random() < 0.8:
-            return f"{w}{r.choice('街路')}{num}号"
-        if lang == "es" and r.random() < 0.8:
-            return f"{r.choice(['Calle', 'Avenida'])} {w}, {num}"
-        s = f"{num}{r.choice(['', '', 'B', '½'])} {w} {r.choice(['Street', 'Road', 'Blvd', 'Court', 'Lane', 'Avenue', 'St.', 'Rd', 'Drive', 'Crescent'])}{r.choice(['', '', ' N', ' West'])}"
-        return s.upper() if r.random() < 0.1 else s
-
-    def c(self, lang: str) -> str:
-        w = self._made()
-        return self.r.choice([w, f"Lake {w}", f"Upper {w}", f"Port {w}", f"Fort {w}", f"Mount {w}", f"Saint-{w}", f"Baie-{w}", f"{w} Harbour", f"{w} River", f"{w} Bay", f"{w} Island", f"{w} Landing", f"{w}-des-Pins"])
-
-    def d(self, lang: str) -> str:
-        m, day, year = self.r.choice(_MONTHS.get(lang, _MONTHS["en"])), self.r.randrange(1, 29), self.r.randrange(1700, 2010)
-        return f"{m} {day}, {year}" if lang in ("en", "zh") else f"{day}. {m} {year}" if lang == "de" else f"{day} de {m} de {year}" if lang == "es" else f"{day} {m} {year}" + (" года" if lang == "ru" else "")
-
-    def q(self, lang: str) -> str:
-        n = self.r.choice([self.r.randrange(100), self.r.randrange(10**6)])
-        return f"{n:,}".replace(",", {"en": ",", "de": ".", "es": "."}.get(lang, " "))
-
-    def w(self, lang: str) -> str:
-        return self._made(lang == "ru", self.r.choice((1, 2, 2, 3))).lower()
-
-    def m(self, lang: str) -> str:
-        return f"{self.r.choice(self.cyrillic if lang == 'ru' else self.latin)} {self._made(lang == 'ru')}"
-
-    def r_(self, lang: str) -> str:
-        return f"{self._made()} {self.r.choice(['Road', 'Street', 'Lane'])}"
-
-    def g(self, lang: str) -> str:
-        return self.r.choice(["May", "June", "Hope Bay", "Grace Harbour", "Lake Frost", "Mercy Island"])
-
-    def x(self, lang: str) -> str:
-        r = self.r
-        return r.choice([
-            self._nine(False), self.k(lang), f"978-0-{r.randrange(10, 99)}-{r.randrange(10**6):06d}-{r.randrange(10)}", f"{r.uniform(45, 80):.4f}, -{r.uniform(60, 140):.4f}", f"v{r.randrange(9)}.{r.randrange(20)}.{r.randrange(20)}.{r.randrange(999)}",
-            f"@{self._made().lower()}_maps", f"{r.randrange(99)}@{r.randrange(40)}kg", f"{r.choice('ABD')}-{r.randrange(99)}/{r.randrange(1700, 1999)}", f"{r.choice('ABX')}{r.choice('NXW')}-{r.randrange(10**5):05d}", f"87{r.randrange(16**8):08x}fffff", "12345678901234567890",
-        ])
-
-    def h(self, lang: str) -> str:
-        return " ".join(str(self.r.choice([self.r.randrange(2, 20), self.r.randrange(2, 100), self.r.randrange(2, 3000)])) for _ in range(self.r.choice((1, 2, 3, 3))))
-
-    def o(self, lang: str) -> str:
-        return f"{self.r.randrange(2, 100)}{self.r.choice(['th', 'nd', 'B', 'a', 'e'])}"
-
-    def text(self, sentences: dict[str, list[str]] = _SENTENCES) -> tuple[str, set[tuple[str, int, int]]]:
-        lang = self.r.choices(list(sentences), [5, 4, 2, 2, 2, 1])[0]
-        out, spans = "", set()
-        for _ in range(self.r.choice((1, 2, 3))):
-            for part in regex.split(r"(\{\w\})", self.r.choice(sentences[lang])):
-                if not regex.fullmatch(r"\{\w\}", part):
-                    out += part
+            form += "C" if g[1] else ""
+            at += 1
+            x = _fold(v)
+            if d - c == 1:
+                if v.isupper() and "I" not in form:
+                    form += "I"
                     continue
-                slot = part[1]
-                w = getattr(self, "r_" if slot == "r" else slot)(lang)
-                kind = {"n": "name", "m": "name", "e": "email", "p": "phone", "s": "id_number", "k": "id_number", "a": "address"}.get(slot)
-                if kind:
-                    spans.add((kind, len(out), len(out) + len(w)))
-                out += w
-            out += self.r.choice([" ", "  ", "\n", ""])
-        return out, spans
+                if x not in L.PARTICLES:
+                    break
+            if x in L.PARTICLES and (shapes[at] == "l" or at + 1 < n and shapes[at + 1] in "TU"):
+                if "C" in form:
+                    break
+                form += "p"
+                continue
+            if shapes[at] not in ("TU" if capital else "l") and not (capital and shapes[k] == "U" == shapes[at]):
+                break
+            words.append(x)
+            if not capital and not (low_ok or names.is_given(x)):
+                break
+            yield _name(text, a, d, k, at, tokens, shapes, words, form, titled_here, names)
+            if len(words) == 3 or not capital:
+                break
+
+
+def _name(text: str, a: int, d: int, k: int, at: int, tokens: list, shapes: list[str], words: list[str], form: str, titled: bool, names: Names) -> Candidate:
+    f = _around(text, a, d)
+    w1, w2 = words[0], words[-1]
+    f += [f"form={form}", f"shapes={''.join((shapes[k], shapes[at]))}", f"n={len(words)}", f"e1={w1[-2:]}", f"e2={w2[-3:]}", f"E2={w2[-2:]}", "ru" if w1[0] > "Ѐ" else "la"]
+    given, family = [names.is_given(w) for w in words], [names.is_family(w) for w in words]
+    f += [x for x, on in (("g1", given[0]), ("g2", given[-1]), ("gg", all(given)), ("nog", not any(given)), ("s1", family[0]), ("s2", family[-1]), ("gs", given[0] and family[-1]), ("titled", titled), ("after", text[d : d + 2] in L.TITLES_AFTER or text[d : d + 1] == " " and text[d + 1 : d + 3] in L.TITLES_AFTER), ("pair", _fold(text[a:d]) in _PAIRS)) if on]
+    classes = [_classes(w) for w in words]
+    f += [f"is1={c}" for c in classes[0]] + [f"is2={c}" for c in classes[-1]] + [f"mid={c}" for c in {c for x in classes[1:-1] for c in x}]
+    if not any(classes):
+        f.append("no class")
+    # is it part of a longer run of capitalised words
+    if k and shapes[k - 1] in "TU" and text[tokens[k - 1][1] : a].strip(_BLANK) == "":
+        f += ["Lcap", *[f"Lcap={c}" for c in _classes(_fold(tokens[k - 1][2])) or ("none",)]]
+    if at + 1 < len(tokens) and shapes[at + 1] in "TU" and text[d : tokens[at + 1][0]].strip(_BLANK) == "":
+        f += ["Rcap", *[f"Rcap={c}" for c in _classes(_fold(tokens[at + 1][2])) or ("none",)]]
+    before = text[max(0, a - 3) : a].rstrip()[-1:]
+    if before in (".", "!", "?", "…", "。", "") or "starts line" in f:
+        f.append("opens")
+    mail = text[max(0, a - 40) : a] + text[d : d + 60]
+    if "@" in mail or "＠" in mail or " at" in mail:
+        low = plain(mail).lower() if not mail.isascii() else mail.lower()
+        f.append("mail")
+        f += [x for x, w in (("mail1", w1), ("mail2", w2)) if plain(w).lower()[:6] in low and len(w) > 2]
+    return Candidate("name", a, d, f)
+
+
+def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in _NUMBER.finditer(text):
+        for form, rx in _AFTER:
+            if x := rx.match(text, m.end()):
+                yield form, m.start(), x.end()
+    low = text.lower()
+    for form, rx, words in _STREET:
+        if any(w in low for w in words):
+            at = 0
+            while x := rx.search(text, at):
+                yield form, x.start(), x.end()
+                at = x.start() + 1
 
 
-def _plain(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", s) if c.isascii() and (c.isalnum() or c == "-")).replace("-", "") or "x"
+def candidates(text: str, names: Names) -> Iterator[Candidate]:
+    """Every span that may be a mention; spans overlap freely."""
+    if "@" in text or "＠" in text or _SPELLED.search(text):
+        for m in _EMAIL.finditer(text):
+            yield Candidate("email", m.start(), m.end(), _around(text, m.start(), m.end()) + ["sign" if "@" in m[0] or "＠" in m[0] else "spelled", f"labels={len(re.findall(_DOT, m[0][len(m['local']) :]))}", f"digits={sum(c.isdigit() for c in m[0]) * 4 // len(m[0])}"])
+    if _HAS_DIGIT.search(text):
+        for m in _PHONE.finditer(text):
+            groups = [(g.start(), g.end(), sum(map(str.isdigit, g[0]))) for g in _GROUP.finditer(text, m.start(), m.end())]
+            if sum(g[2] for g in groups) < 8:
+                continue
+            before = text[max(0, m.start() - 40) : m.start()].casefold()
+            told = [x for x, words in (("insurance", L.INSURANCE), ("passport", L.PASSPORT)) if any(w in before for w in words)]
+            for i, (s, _, _) in enumerate(groups):
+                n = 0
+                for j in range(i, len(groups)):
+                    e, n = groups[j][1], n + groups[j][2]
+                    if n > 15:
+                        break
+                    if n >= 8:
+                        t = text[s:e]
+                        ends = [*told, "whole" if s == m.start() else "part", "to end" if e == m.end() else "to inside"]
+                        mask = "".join(str(g[2]) + ("+" if text[g[0]] == "+" else "(" if text[g[0]] == "(" else ".") for g in groups[i : j + 1])
+                        yield Candidate("phone", s, e, _around(text, s, e) + ends + [f"digits={n}", "mask=" + mask, "begins=" + t[:2], "begin=" + t[:1], f"groups={j - i + 1}", "seps=" + "".join(sorted(set(re.sub(r"\d", "", t))))])
+        low = None
+        for rx in (_NINE, _PASS):
+            for m in rx.finditer(text):
+                low = low or text.casefold()
+                # the words before it on the same line, or shortly before
+                before, digits = low[max(0, m.start() - 40) : m.start()], re.sub(r"\D", "", m[0])
+                f = _around(text, m.start(), m.end()) + [f"n={len(digits)}", "nine" if rx is _NINE else "pass", "letters" if m[0][0].isalpha() else "bare"]
+                f += [x for x, on in (("luhn", rx is _NINE and luhn(digits)), ("passport", any(w in before for w in L.PASSPORT)), ("passport soon", any(w in before[-18:] for w in L.PASSPORT)), ("insurance", any(w in before for w in L.INSURANCE))) if on]
+                yield Candidate("id_number", m.start(), m.end(), f)
+        for form, s, e in _addresses(text):
+            letters = re.findall(r"[^\W\d]+", text[s:e])
+            yield Candidate("address", s, e, _around(text, s, e) + [f"form={form}", f"house={len(re.sub(r'[^0-9]', '', text[s:e]))}", "shape=" + "".join(map(_shape, letters))[:6], f"last={letters[-1].casefold()}", *[f"in={c}" for w in letters for c in _classes(w.casefold())]])
+    yield from _names(text, names)
 
 
 @dataclass
 class Detector:
-    given: frozenset[str]
+    names: Names
     models: dict[str, BoostedTrees]
 
     def mentions(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
@@ -383,7 +295,7 @@ class Detector:
 
         # judged by the thousand: a long table of numbers has many candidates
         for i, t in enumerate(texts):
-            for c in candidates(t, self.given) if t else ():
+            for c in candidates(t, self.names) if t else ():
                 waiting[c.kind].append((i, c))
                 if len(waiting[c.kind]) >= 4096:
                     judge(c.kind)
@@ -402,20 +314,20 @@ class Detector:
         return out
 
 
-def train(given_names: Iterable[str], *, sample_texts: int = 8_000, seed: int = 7) -> Detector:
-    """Fits one model for each kind on ``sample_texts`` labelled texts written here (nothing else is sampled), that for
-    phones on half as many again with lists of numbers, a quarter of them held out to set the thresholds. Deterministic for the same names and seed."""
-    names = sorted({g.strip() for g in given_names if g and g.strip()})
-    given, writer = frozenset(map(_fold, names)), _Writer(names, seed)
-    parts: dict[bool, dict[str, tuple[list[set[str]], list[int]]]] = {h: {k: ([], []) for k in KINDS} for h in (False, True)}
-    listed = _Writer(names, seed + 1)
+def train(given_names: Iterable[str], *, sample_texts: int = 12_000, seed: int = 7) -> Detector:
+    """Fits one model for each kind on ``sample_texts`` labelled texts written by ``Writer`` (nothing is sampled from any
+    table but the list of given names), that for phones on half as many again with lists of numbers, a quarter of them
+    held out to set the thresholds. Deterministic for the same names and seed."""
+    given = sorted({g.strip() for g in given_names if g and g.strip()})
+    names, writer, listed = Names(given), Writer(given, seed), Writer(given, seed + 1)
+    parts: dict[bool, dict[str, tuple[list[list[str]], list[int]]]] = {h: {k: ([], []) for k in KINDS} for h in (False, True)}
     for i in range(sample_texts + sample_texts // 2):
         more = i >= sample_texts
-        text, spans = listed.text(_LISTED) if more else writer.text()
+        text, spans = (listed if more else writer).text(more)
         starts = {(k, a) for k, a, _ in spans}
         # a phone ends where it was written to end, before an extension
         phones = {(a, a + len(text[a:b].split(" ext.")[0])) for k, a, b in spans if k == "phone"}
-        for c in candidates(text, given):
+        for c in candidates(text, names):
             if more and c.kind != "phone":
                 continue
             rows, y = parts[i % 4 == 3][c.kind]
@@ -425,8 +337,9 @@ def train(given_names: Iterable[str], *, sample_texts: int = 8_000, seed: int =
     for kind in KINDS:
         rows, y = parts[False][kind]
         held, z = parts[True][kind]
-        models[kind] = BoostedTrees().fit(rows, np.array(y)).calibrate(held, np.array(z))
-    return Detector(given, models)
+        size = {"trees": 150, "depth": 5} if kind == "name" else {}
+        models[kind] = BoostedTrees(**size).fit(rows, np.array(y)).calibrate(held, np.array(z), beta=2.0 if kind == "name" else 1.0)
+    return Detector(names, models)
 
 
 def find_mentions(df: DataFrame, detector: Detector, *, key: str, text: str) -> DataFrame:
@@ -440,8 +353,7 @@ def find_mentions(df: DataFrame, detector: Detector, *, key: str, text: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
+            for part in slices(batch, 1):
                 rows = [(i, *m) for i, ms in enumerate(detector.mentions(part.column(1).to_pylist())) for m in ms]
                 keys = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], [key, "pii_kind", "start_at", "end_at"])
@@ -462,8 +374,7 @@ def redact(df: DataFrame, detector: Detector, *, text: str, out: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
+            for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
                 new = [clean(t, ms) for t, ms in zip(texts, detector.mentions(texts))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(new, pa.string())], [*names, out])

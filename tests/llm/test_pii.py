@@ -1,3 +1,4 @@
+import os
 import time
 from collections import Counter
 
@@ -7,13 +8,14 @@ import regex
 
 from stratamesh.llm import pii
 from stratamesh.llm.boosting import BoostedTrees
+from stratamesh.llm.writer import Writer, luhn
 
 NAMES = ["Ulla", "Emeka", "Thérèse", "Jean-Luc", "May", "Lake", "Вера", "Лев"]
 
 
 @pytest.fixture(scope="module")
 def detector():
-    return pii.train(NAMES, sample_texts=4000)
+    return pii.train(NAMES)
 
 
 def test_boosted_trees_learn_a_conjunction():
@@ -25,31 +27,58 @@ def test_boosted_trees_learn_a_conjunction():
     assert len(BoostedTrees().fit([], np.array([])).predict([set(), {"f1"}])) == 2
 
 
-def test_held_out_accuracy(detector):
-    w = pii._Writer(NAMES, 1234)
-    texts = [w.text() for _ in range(600)]
+def scores(detector, rows):
     tp, fp, fn = Counter(), Counter(), Counter()
-    for (_, spans), found in zip(texts, detector.mentions([t for t, _ in texts])):
+    for (_, spans), found in zip(rows, detector.mentions([t for t, _ in rows])):
         a, b = {(k, s) for k, s, _ in spans}, {(k, s) for k, s, _ in found}
         for c, x in ((tp, a & b), (fp, b - a), (fn, a - b)):
             c.update(k for k, _ in x)
-    for k in pii.KINDS:
-        assert tp[k] / (tp[k] + fp[k]) > 0.95 and tp[k] / (tp[k] + fn[k]) > 0.93, (k, tp[k], fp[k], fn[k])
+    return {k: (tp[k] + fn[k], tp[k] / max(1, tp[k] + fp[k]), tp[k] / max(1, tp[k] + fn[k])) for k in pii.KINDS}
+
+
+def test_held_out_accuracy(detector):
+    w = Writer(NAMES, 1234)
+    for kind, (n, precision, recall) in scores(detector, [w.text() for _ in range(800)]).items():
+        assert n > 50 and precision > 0.9 and recall > 0.92, (kind, n, precision, recall)
+
+
+def marked(line):
+    """A line of mentions.txt and its mentions: <n name>, <e e-mail>, <p phone>, <a address>, <i passport number>; <s ...> is
+    a social insurance number without its last digit, which is put in here."""
+    kinds = {"n": "name", "e": "email", "p": "phone", "i": "id_number", "s": "id_number", "a": "address"}
+    out, spans, at = "", set(), 0
+    for m in regex.finditer(r"<([nepisa]) ([^<>]*)>", line):
+        out += line[at : m.start()]
+        w = m[2] + (next(c for c in "0123456789" if luhn(regex.sub(r"\D", "", m[2]) + c)) if m[1] == "s" else "")
+        spans.add((kinds[m[1]], len(out), len(out) + len(w)))
+        out, at = out + w, m.end()
+    return out + line[at:], spans
+
+
+def test_hand_written_mentions(detector):
+    """About 200 mentions of each kind, written by hand and not by the training grammar; hardly a given name of them is in
+    the list that the detector gets."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    lines = lambda name: [x for x in open(f"{here}/{name}", encoding="utf-8").read().split("\n") if x]
+    rows = [marked(x) for x in lines("mentions.txt")] + [(x, set()) for x in lines("plain.txt")]
+    for kind, (n, precision, recall) in scores(detector, rows).items():
+        assert n >= 190 and recall >= 0.9 and precision >= 0.9, (kind, n, precision, recall)
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("Passport QQ389147 was issued to Ulla Torley.", {("id_number", "QQ389147"), ("name", "Ulla Torley")}),
-        ("The file QQ389147 was closed on May 3, 1838.", set()),
-        ("My SIN is 046 454 286, I live at 12 Mill Road.", {("id_number", "046 454 286"), ("address", "12 Mill Road")}),
-        ("My SIN is 046 454 287.", set()),
-        ("EMEKA ROSVANE (emeka+r [at] lakes [dot] test, (418) 555-0197) keeps the list.", {("name", "EMEKA ROSVANE"), ("email", "emeka+r [at] lakes [dot] test"), ("phone", "(418) 555-0197")}),
-        ("Heard: Ms. TORLEY, Ulla; absent: Mr. Jean-Luc Y. Bell.", {("name", "TORLEY, Ulla"), ("name", "Jean-Luc Y. Bell")}),
-        ("Слушали: г-жа Вера Торвин; нет: г-н Лев Мордвей.", {("name", "Вера Торвин"), ("name", "Лев Мордвей")}),
-        ("我的保险号是046454286，住在Mill街12号。", {("id_number", "046454286"), ("address", "Mill街12号")}),
-        ("Nobody in Lake Torley remembers 978-0-37-916238-2 or 48.9741, -127.1372.", set()),
-        ("😀 Call +1 902 555 0176 after eight.", {("phone", "+1 902 555 0176")}),
+        ("Lost passport QQ389147, holder Ulla Torley.", {("id_number", "QQ389147"), ("name", "Ulla Torley")}),
+        ("Invoice QQ389147 was paid on May 3, 1938.", set()),
+        ("SIN 046 454 286 belongs to the tenant of 12 Mill Road.", {("id_number", "046 454 286"), ("address", "12 Mill Road")}),
+        ("SIN 046 454 287.", set()),
+        ("EMEKA ROSVANE, emeka+r [at] bikes [dot] test, (418) 555-0197", {("name", "EMEKA ROSVANE"), ("email", "emeka+r [at] bikes [dot] test"), ("phone", "(418) 555-0197")}),
+        ("Present were Ms. TORLEY, Ulla and Mr. Jean-Luc Y. Bell.", {("name", "TORLEY, Ulla"), ("name", "Jean-Luc Y. Bell")}),
+        ("Пришла г-жа Вера Торвин, с ней г-н Лев Мордвей.", {("name", "Вера Торвин"), ("name", "Лев Мордвей")}),
+        ("社保号046454286，地址：Mill街12号。", {("id_number", "046454286"), ("address", "Mill街12号")}),
+        ("The book 978-0-37-916238-2 shows 48.9741, -127.1372.", set()),
+        ("Jean Dupont habite au 14 rue de la Paix.", {("name", "Jean Dupont"), ("address", "14 rue de la Paix")}),
+        ("The Blue Water Company sells soap.", set()),
     ],
 )
 def test_cases(detector, text, want):
@@ -75,7 +104,7 @@ def test_phone_before_a_number_that_touches_a_letter(detector, text, want):
         ("418-555-1234 506-555-9876", ["418-555-1234", "506-555-9876"]),
         ("418 555 1234 506 555 9876", ["418 555 1234", "506 555 9876"]),
         ("Phones: 418 555 1234 506 555 9876 604 555 1111.", ["418 555 1234", "506 555 9876", "604 555 1111"]),
-        ("Call (418) 555-1234 (506) 555-9876 after eight.", ["(418) 555-1234", "(506) 555-9876"]),
+        ("Ring (418) 555-1234 (506) 555-9876 today.", ["(418) 555-1234", "(506) 555-9876"]),
     ],
 )
 def test_phones_among_numbers(detector, text, want):
@@ -86,7 +115,7 @@ def test_every_run_of_groups_with_8_to_15_digits_is_proposed():
     text = "+1 (418) 555-1234 506.555.98 76 7 7 12345678901 3"
     at = [m.span() for m in regex.finditer(r"\+ ?\d+|\(\d+\)|\d+", text)]
     want = {(a, b) for a, _ in at for _, b in at if a < b and 8 <= sum(c.isdigit() for c in text[a:b]) <= 15}
-    got = [(c.start, c.end) for c in pii.candidates(text, frozenset()) if c.kind == "phone"]
+    got = [(c.start, c.end) for c in pii.candidates(text, pii.Names([])) if c.kind == "phone"]
     assert set(got) == want and len(got) == len(want)
 
 
@@ -98,12 +127,12 @@ def test_long_runs_of_digits_are_read_once():
 
 
 def test_frames(spark, detector):
-    long = "The council moved the map. " * 20000 + "Call 418-555-0101 after eight."
-    rows = [(1, "Questions go to ulla.x@lakes.test before June 1, 1900.", "e"), (2, None, "e"), (3, "", "e"), (4, "  \n", "e"), (5, long, "e"), (1, "Questions go to ulla.x@lakes.test before June 1, 1900.", "e")]
+    long = "The bread was cold again. " * 20000 + "Phone 418-555-0101 after lunch."
+    rows = [(1, "Mail ulla.x@bikes.test before June 1, 1900.", "e"), (2, None, "e"), (3, "", "e"), (4, "  \n", "e"), (5, long, "e"), (1, "Mail ulla.x@bikes.test before June 1, 1900.", "e")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, start_at string")
     found = pii.find_mentions(df, detector, key="doc_id", text="text").collect()
-    assert sorted((r.doc_id, r.pii_kind, r.start_at) for r in found) == [(1, "email", 16), (1, "email", 16), (5, "phone", len(long) - 25)]
+    assert sorted((r.doc_id, r.pii_kind, r.start_at) for r in found) == [(1, "email", 5), (1, "email", 5), (5, "phone", len(long) - 25)]
     clean = {r.doc_id: r.clean for r in pii.redact(df, detector, text="text", out="clean").collect()}
-    assert clean[1] == "Questions go to [EMAIL] before June 1, 1900." and clean[2] is None and clean[3] == "" and clean[4] == "  \n"
-    assert clean[5].endswith("Call [PHONE] after eight.")
+    assert clean[1] == "Mail [EMAIL] before June 1, 1900." and clean[2] is None and clean[3] == "" and clean[4] == "  \n"
+    assert clean[5].endswith("Phone [PHONE] after lunch.")
     assert pii.find_mentions(df.limit(0), detector, key="doc_id", text="text").count() == 0
