@@ -5,6 +5,8 @@ from __future__ import annotations
 TITLES = frozenset("mr mrs ms miss dr prof mx sir rev m mme mlle me monsieur madame mademoiselle herr herrn frau sr sra srta señor señora señorita don doña г-н г-жа господин госпожа гражданин гражданка товарищ доктор doctor docteur doktor nurse judge captain".split())
 TITLES_AFTER = ("先生", "女士", "小姐", "太太", "老师", "医生", "教授", "博士")
 PARTICLES = frozenset("de da do dos das del della di du la le van von der den ter ten zu al el bin ben ibn abu mac st o y e af av".split())
+#: Particles that only follow another one, as in "van den".
+INNER_PARTICLES = frozenset("der den ten ter la le los".split())
 
 STREETS_EN = "street st road rd avenue ave boulevard blvd drive dr lane ln court ct crescent cres way place pl terrace square sq highway hwy trail close row gardens parkway pkwy mews grove".split()
 STREETS_FR = "rue chemin ch avenue av boulevard boul bd allée allee impasse place côte rang route rte ruelle quai square passage sentier".split()

@@ -23,7 +23,8 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 _LATIN = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff"
 _MARK = "\u0300-\u036f"
-_WORD = re.compile(rf"[{_LATIN}][{_LATIN}{_MARK}]*(?:[-‐‑'’][{_LATIN}][{_LATIN}{_MARK}]*)*|[\u0400-\u052f][\u0400-\u052f{_MARK}]*(?:-[\u0400-\u052f]+)*")
+# a word that goes on in digits, or from them, is a code and no word
+_WORD = re.compile(rf"(?<![\d_])(?:[{_LATIN}][{_LATIN}{_MARK}]*(?:[-‐‑'’][{_LATIN}][{_LATIN}{_MARK}]*)*|[\u0400-\u052f][\u0400-\u052f{_MARK}]*(?:-[\u0400-\u052f]+)*)(?![{_LATIN}{_MARK}\u0400-\u052f]|[-‑/_]?\d)")
 _BLANK = " \t\xa0\u2002\u2003\u2009\u202f\u3000"
 _GAP = re.compile(rf"[{_BLANK}]{{1,3}}|(,[{_BLANK}]{{1,2}})")
 _CONTEXT = re.compile(rf"[{_LATIN}][{_LATIN}{_MARK}'’-]*|[\u0400-\u052f]+|\d+|\S")
@@ -53,7 +54,7 @@ _LINK = rf"(?:(?:de|du|des|del|la|le|les|los|las|el|der|den|dem)(?!\w){_SP}|[dl]
 _NUMBER = re.compile(rf"(?<![{_LATIN}\u0400-\u052f\d.,:/]){_HOUSE}")
 # number first: the rest is matched after a number; street first: searched from the street's word on
 _AFTER = [
-    ("en", re.compile(rf",?{_SP}(?:{_W}\.?{_SP}){{1,3}}?{_alt(L.STREETS_EN)}", re.I)),
+    ("en", re.compile(rf",?{_SP}(?:(?:{_W}|(?:St|Ste|Mt|Dr|Ft|[NSEW])\.){_SP}){{1,3}}?{_alt(L.STREETS_EN)}", re.I)),
     ("fr", re.compile(rf",?{_SP}{_alt(L.STREETS_FR)}{_SP}{_LINK}(?:{_W}|\d{{1,2}}{_SP}{_W})(?:{_SP}(?-i:[A-ZÀ-Þ]){_W})?", re.I)),
 ]
 _STREET = [
@@ -105,6 +106,7 @@ class Names:
         self._given = every | {s for w in every if w[0] > "Ѐ" for s in _stems(w)}
         self._family = _FAMILY | {s for w in _FAMILY if w[0] > "Ѐ" for s in _stems(w)}
         self.is_given, self.is_family = lru_cache(1 << 16)(lambda w: self._in(w, self._given)), lru_cache(1 << 16)(lambda w: self._in(w, self._family))
+        self.given_as_written = lru_cache(1 << 16)(lambda w: self._in(_fold(w), self._given))
 
     @staticmethod
     def _in(w: str, words: Iterable[str]) -> bool:
@@ -152,14 +154,17 @@ def _names(text: str, names: Names) -> Iterator[Candidate]:
     if len(tokens) < 2:
         return
     shapes = [_shape(w) for _, _, w in tokens]
+    known = [names.given_as_written(w) for _, _, w in tokens]
     n, titled = len(tokens), {m.end() for m in _TITLED.finditer(text)}
     for k in range(n - 1):
-        a, b, w = tokens[k]
         capital = shapes[k] in "TU"
+        if not (capital or known[k] or known[k + 1] or tokens[k][0] in titled):
+            continue
+        a, b, w = tokens[k]
         titled_here = a in titled
-        low_ok = not capital and (titled_here or names.is_given(_fold(w)))
-        initials = b - a == 1 and w.isupper() and text[b : b + 1] == "."
-        if (b - a < 2 and not initials) or not (capital or low_ok or shapes[k + 1] in "lTU" and names.is_given(_fold(tokens[k + 1][2]))):
+        low_ok = not capital and (titled_here or known[k])
+        initials = b - a == 1 and w.isupper() and text[b : b + 1] == "." and _fold(w) not in L.TITLES
+        if (b - a < 2 and not initials) or not (capital or low_ok or shapes[k + 1] in "lTU" and known[k + 1]):
             continue
         if k and capital and text[a - 1] in "-'’" and tokens[k - 1][1] == a - 1:
             continue
@@ -182,6 +187,8 @@ def _names(text: str, names: Names) -> Iterator[Candidate]:
                     continue
                 if x not in L.PARTICLES:
                     break
+            if x in L.INNER_PARTICLES and "p" not in form:
+                break
             if x in L.PARTICLES and (shapes[at] == "l" or at + 1 < n and shapes[at + 1] in "TU"):
                 if "C" in form:
                     break
@@ -251,13 +258,14 @@ def candidates(text: str, names: Names) -> Iterator[Candidate]:
             told = [x for x, words in (("insurance", L.INSURANCE), ("passport", L.PASSPORT)) if any(w in before for w in words)]
             for i, (s, _, _) in enumerate(groups):
                 n = 0
+                before_it = "none" if not i else "+" if text[groups[i - 1][0]] == "+" else text[groups[i - 1][0] : groups[i - 1][1]] if groups[i - 1][2] == 1 else str(groups[i - 1][2])
                 for j in range(i, len(groups)):
                     e, n = groups[j][1], n + groups[j][2]
                     if n > 15:
                         break
                     if n >= 8:
                         t = text[s:e]
-                        ends = [*told, "whole" if s == m.start() else "part", "to end" if e == m.end() else "to inside"]
+                        ends = [*told, f"before={before_it}", f"before={before_it[:1]}", f"next={groups[j + 1][2] if j + 1 < len(groups) else 0}", "whole" if s == m.start() else "part", "to end" if e == m.end() else "to inside"]
                         mask = "".join(str(g[2]) + ("+" if text[g[0]] == "+" else "(" if text[g[0]] == "(" else ".") for g in groups[i : j + 1])
                         yield Candidate("phone", s, e, _around(text, s, e) + ends + [f"digits={n}", "mask=" + mask, "begins=" + t[:2], "begin=" + t[:1], f"groups={j - i + 1}", "seps=" + "".join(sorted(set(re.sub(r"\d", "", t))))])
         low = None
@@ -265,9 +273,9 @@ def candidates(text: str, names: Names) -> Iterator[Candidate]:
             for m in rx.finditer(text):
                 low = low or text.casefold()
                 # the words before it on the same line, or shortly before
-                before, digits = low[max(0, m.start() - 40) : m.start()], re.sub(r"\D", "", m[0])
+                before, digits = low[max(0, m.start() - 120) : m.start()], re.sub(r"\D", "", m[0])
                 f = _around(text, m.start(), m.end()) + [f"n={len(digits)}", "nine" if rx is _NINE else "pass", "letters" if m[0][0].isalpha() else "bare"]
-                f += [x for x, on in (("luhn", rx is _NINE and luhn(digits)), ("passport", any(w in before for w in L.PASSPORT)), ("passport soon", any(w in before[-18:] for w in L.PASSPORT)), ("insurance", any(w in before for w in L.INSURANCE))) if on]
+                f += [x for x, on in (("luhn", rx is _NINE and luhn(digits)), *((f"{what}{k}", any(w in before[-k:] for w in words)) for what, words in (("passport", L.PASSPORT), ("insurance", L.INSURANCE)) for k in (18, 40, 120))) if on]
                 yield Candidate("id_number", m.start(), m.end(), f)
         for form, s, e in _addresses(text):
             letters = re.findall(r"[^\W\d]+", text[s:e])
@@ -316,12 +324,12 @@ class Detector:
 
 def train(given_names: Iterable[str], *, sample_texts: int = 12_000, seed: int = 7) -> Detector:
     """Fits one model for each kind on ``sample_texts`` labelled texts written by ``Writer`` (nothing is sampled from any
-    table but the list of given names), that for phones on half as many again with lists of numbers, a quarter of them
+    table but the list of given names), that for phones on as many again with lists of numbers, a quarter of them
     held out to set the thresholds. Deterministic for the same names and seed."""
     given = sorted({g.strip() for g in given_names if g and g.strip()})
     names, writer, listed = Names(given), Writer(given, seed), Writer(given, seed + 1)
     parts: dict[bool, dict[str, tuple[list[list[str]], list[int]]]] = {h: {k: ([], []) for k in KINDS} for h in (False, True)}
-    for i in range(sample_texts + sample_texts // 2):
+    for i in range(2 * sample_texts):
         more = i >= sample_texts
         text, spans = (listed if more else writer).text(more)
         starts = {(k, a) for k, a, _ in spans}
@@ -337,7 +345,7 @@ def train(given_names: Iterable[str], *, sample_texts: int = 12_000, seed: int =
     for kind in KINDS:
         rows, y = parts[False][kind]
         held, z = parts[True][kind]
-        size = {"trees": 150, "depth": 5} if kind == "name" else {}
+        size = {"trees": 150, "depth": 5} if kind in ("name", "phone") else {}
         models[kind] = BoostedTrees(**size).fit(rows, np.array(y)).calibrate(held, np.array(z), beta=2.0 if kind == "name" else 1.0)
     return Detector(names, models)
 

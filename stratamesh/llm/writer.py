@@ -29,12 +29,12 @@ _WITH = {
     "es": "con|por|para|de parte de|y|pregunte por|gracias a|mi amigo|foto:|Nombre:|Contacto:|Atentamente,\n|Estimada|Paciente:|Inquilino:|entre {N} y|según|me llamo|Soy|cita con|autor:|escrito por|empleado".split("|"),
 }
 _WHERE = {
-    "en": "in|near|at|to|from|outside|via|of|around|across|The train to|The road from|welcome to|weather in|past|The people of|Hotels in|north of|flight to".split("|"),
-    "fr": "à|près de|de|vers|depuis|par|Le train pour|bienvenue à|les gens de|météo à|au nord de|Hôtels à|À|Depuis".split("|"),
-    "de": "in|bei|nach|aus|von|über|Der Zug nach|willkommen in|Wetter in|nördlich von|Hotels in|In|Ab|rund um|Stadt".split("|"),
-    "ru": "в|возле|из|до|через|поезд в|погода в|жители|дорога на|севернее|В|Из|около|город".split("|"),
+    "en": "in|near|at|to|from|outside|via|of|around|across|The train to|The road from|welcome to|weather in|past|The people of|Hotels in|north of|flight to|village|the town of|Island of|parish|District|Station".split("|"),
+    "fr": "à|près de|de|vers|depuis|par|Le train pour|bienvenue à|les gens de|météo à|au nord de|Hôtels à|À|Depuis|village de|Commune de|l'île|Gare de|Comté de".split("|"),
+    "de": "in|bei|nach|aus|von|über|Der Zug nach|willkommen in|Wetter in|nördlich von|Hotels in|In|Ab|rund um|Stadt|die Gemeinde|die Insel|das Dorf|im Bezirk|der Landkreis|die Siedlung|Die Region|Amt|Schloss|Die Festung".split("|"),
+    "ru": "в|возле|из|до|через|поезд в|погода в|жители|дорога на|севернее|В|Из|около|город|посёлок|район|Село|Область|Остров|река".split("|"),
     "zh": "在|到|从|去|附近的|欢迎来到|开往|天气：|自".split("|"),
-    "es": "en|cerca de|de|hacia|desde|por|El tren a|bienvenidos a|el tiempo en|al norte de|Hoteles en|En|Desde|la gente de".split("|"),
+    "es": "en|cerca de|de|hacia|desde|por|El tren a|bienvenidos a|el tiempo en|al norte de|Hoteles en|En|Desde|la gente de|el pueblo|La isla|Provincia|la aldea".split("|"),
 }
 _ROLE = {
     "en": "our neighbour|the plumber|engineer|nurse|the tenant|witness|teacher|Mr.|Mrs|Ms.|Dr.|Prof.|Miss|goalkeeper|the late|singer|coach|Captain".split("|"),
@@ -48,31 +48,31 @@ _OTHER = {
     "en": [
         "Mail {E} for a refund.", "You can reach me at {P} or {E}.", "Email: {E}", "fax {P}", "Phone {P} ({F} hours only)", "Text {P} if the {F} is late.", "My social insurance number: {S}", "SIN {S} on file for {N}.", "Passport no. {K}, holder {N}.", "Lost passport {K} near {C}.",
         "We live at {A} in {C}.", "Deliver to {A}, {C}, before {D}.", "Ship to: {N}, {A}, {C}", "Bill to {N}\n{A}\n{C}", "The shop is at {A}.", "Invoice {X} was paid on {D}.", "Order {X} weighs {H} kg.", "Serial number {X}.", "Version {X} is out since {D}.", "Reference {X}, total {Q} dollars.", "Turn left on {R} after {H} blocks.", "They won {H} to {H} on {R}.",
-        "{T} starts on {D}.", "Read the {T} before the {F}.", "{G} said the {F} is cold.", "{U} lost again.", "Do not miss {T}!", "Chapter {H}: {T}", "See you in {C} on {D}.", "About {Q} people came to {C}.", "It costs {Q}, not {Q}.", "In {G} the weather is fine.", "{F} {F} {C} {F}.", "{F} {C} {F} {F} {F}", "Tickets at {X} or from {O}.", "Follow @{F}_{F} for more.", "Rated {H} out of {H}.", "{N} <{E}>", "{N}, {P}", "Write to {N} at {E}.", "Our {F}, {N}, lives at {A}.", "{N} / {E} / {P}", "Passengers: {N}; {N}; {N}", "{N} ({O})", "{N} - {T}", "Was {N} there? No, {N} was.", "I saw {N}.", "{N}!", "Ask {N} or {N}.", "Account {X} of {O}.", "Meeting at {H}:30 with {N} and {G}.",
+        "{T} starts on {D}.", "Read the {T} before the {F}.", "{G} said the {F} is cold.", "{U} lost again.", "Do not miss {T}!", "Chapter {H}: {T}", "See you in {C} on {D}.", "About {Q} people came to {C}.", "It costs {Q}, not {Q}.", "In {G} the weather is fine.", "{F} {F} {C} {F}.", "{F} {C} {F} {F} {F}", "Tickets at {X} or from {O}.", "Follow @{F}_{F} for more.", "Rated {H} out of {H}.", "{N} <{E}>", "{N}, {P}", "Write to {N} at {E}.", "Our {F}, {N}, lives at {A}.", "{N} / {E} / {P}", "Passengers: {N}; {N}; {N}", "{N} ({O})", "{N} - {T}", "Was {N} there? No, {N} was.", "I saw {N}.", "{N}!", "Ask {N} or {N}.", "Account {X} of {O}.", "{H} {F} on the road.", "{H} {F} and the {F} court", "There are {H} {F} in every street.", "{H} {F} along the way", "{F} {H} shows the {F} road.", "Page {X} of the {F}.", "Sample {X} was {F}.", "Box {X} is {F}.", "{T} {X} {F}.", "Meeting at {H}:30 with {N} and {G}.",
     ],
     "fr": [
         "Écrivez à {E} pour un remboursement.", "Joignez-moi au {P} ou à {E}.", "Courriel : {E}", "Tél. : {P}", "Mon numéro d'assurance sociale : {S}", "NAS {S} de {N}.", "Passeport no {K}, titulaire {N}.", "Passeport perdu : {K}.", "Nous habitons {A} à {C}.", "Livrer au {A}, {C}, avant le {D}.", "Destinataire : {N}, {A}, {C}", "Le magasin est situé {A}.",
-        "Facture {X} payée le {D}.", "Commande {X}, total {Q} euros.", "Numéro de série {X}.", "Tournez à gauche rue {C}.", "{T} commence le {D}.", "{G} dit que le {F} est froid.", "{U} a encore perdu.", "Chapitre {H} : {T}", "Environ {Q} personnes sont venues à {C}.", "{F} {C} {F} {F}.", "{N} <{E}>", "{N}, {P}", "Notre {F}, {N}, habite {A}.", "Passagers : {N} ; {N}", "J'ai vu {N}.", "« {N} est là ? »", "Ça coûte {Q}, pas {Q}.", "L'{F} de {C} ouvre le {D}.",
+        "Facture {X} payée le {D}.", "Commande {X}, total {Q} euros.", "Numéro de série {X}.", "Boîte {X}, {H} {F}.", "{T} {X} {F}.", "Il y a {H} {F} sur la route.", "Tournez à gauche rue {C}.", "{T} commence le {D}.", "{G} dit que le {F} est froid.", "{U} a encore perdu.", "Chapitre {H} : {T}", "Environ {Q} personnes sont venues à {C}.", "{F} {C} {F} {F}.", "{N} <{E}>", "{N}, {P}", "Notre {F}, {N}, habite {A}.", "Passagers : {N} ; {N}", "J'ai vu {N}.", "« {N} est là ? »", "Ça coûte {Q}, pas {Q}.", "L'{F} de {C} ouvre le {D}.",
     ],
     "de": [
-        "Mailen Sie an {E}.", "Sie erreichen mich unter {P} oder {E}.", "E-Mail: {E}", "Tel.: {P}", "Sozialversicherungsnummer: {S}", "Reisepass Nr. {K}, Inhaber {N}.", "Verlorener Reisepass: {K}.", "Wir wohnen {A} in {C}.", "Lieferung an {N}, {A}, {C}", "Der Laden ist in der {A}.", "Rechnung {X} vom {D}.", "Bestellung {X}, Summe {Q} Euro.", "Seriennummer {X}.",
+        "Mailen Sie an {E}.", "Sie erreichen mich unter {P} oder {E}.", "E-Mail: {E}", "Tel.: {P}", "Sozialversicherungsnummer: {S}", "Reisepass Nr. {K}, Inhaber {N}.", "Verlorener Reisepass: {K}.", "Wir wohnen {A} in {C}.", "Lieferung an {N}, {A}, {C}", "Der Laden ist in der {A}.", "Rechnung {X} vom {D}.", "Bestellung {X}, Summe {Q} Euro.", "Seriennummer {X}.", "Karton {X} ist da.", "Nach dem {F} der {F}.", "Der Verein baute nach dem Regen den Schuppen.", "Die Firma verkauft seit Mai das Gebäude.", "{T} {X} {F}.",
         "{T} beginnt am {D}.", "{G} sagt, der {F} ist kalt.", "{U} hat wieder verloren.", "Kapitel {H}: {T}", "Etwa {Q} Leute kamen nach {C}.", "{F} {C} {F}.", "{N} <{E}>", "{N}, {P}", "Unsere {F}, {N}, wohnt {A}.", "Gäste: {N}; {N}", "Ich habe {N} gesehen.", "Das kostet {Q}, nicht {Q}.", "Die Alte Schule in {C} ist zu.", "Der {F} liegt auf dem {F}.", "Am {D} ist die {F} in {C} zu.", "Im {F} von {C} steht ein {F}.", "Die {F} der {O} ist neu.",
     ],
     "ru": [
-        "Пишите на {E}.", "Мой телефон {P}, почта {E}.", "Почта: {E}", "Тел.: {P}", "Номер социального страхования: {S}", "Паспорт № {K}, владелец {N}.", "Утерян паспорт {K}.", "Мы живём по адресу {A}, {C}.", "Доставка: {N}, {A}, {C}", "Магазин находится: {A}.", "Счёт {X} оплачен {D}.", "Заказ {X}, сумма {Q} рублей.", "Серийный номер {X}.",
+        "Пишите на {E}.", "Мой телефон {P}, почта {E}.", "Почта: {E}", "Тел.: {P}", "Номер социального страхования: {S}", "Паспорт № {K}, владелец {N}.", "Утерян паспорт {K}.", "Мы живём по адресу {A}, {C}.", "Доставка: {N}, {A}, {C}", "Магазин находится: {A}.", "Счёт {X} оплачен {D}.", "Заказ {X}, сумма {Q} рублей.", "Серийный номер {X}.", "Коробка {X} здесь.", "{T} {X} {F}.",
         "{T} начинается {D}.", "{G} говорит, что {F} холодный.", "{U} снова проиграл.", "Глава {H}. {T}", "Около {Q} человек приехало в {C}.", "{F} {C} {F}.", "{N} <{E}>", "{N}, {P}", "Наш {F}, {N}, живёт: {A}.", "Гости: {N}; {N}", "Я видел {N}.", "Это стоит {Q}, а не {Q}.",
     ],
     "zh": [
         "请写信到{E}。", "我的电话是{P}，邮箱{E}。", "电话：{P}", "社会保险号：{S}", "护照号码{K}，持有人{N}。", "遗失护照{K}。", "我们住在{A}。", "送货至{N}，{A}，{C}", "商店地址：{A}。", "发票{X}于{D}付款。", "订单{X}，共{Q}元。", "序列号{X}。", "{T}于{D}开始。", "大约{Q}人来到{C}。", "{F}{C}{F}。", "{N}，{P}", "我看见了{N}。", "{N}先生{F}。", "{N}女士和{N}先生{F}。", "价格是{Q}。", "{C}的{F}很冷。", "{F}于{D}在{C}举行。",
     ],
     "es": [
-        "Escriba a {E}.", "Mi teléfono es {P} o {E}.", "Correo: {E}", "Tel.: {P}", "Número de seguro social: {S}", "Pasaporte n.º {K}, titular {N}.", "Pasaporte perdido: {K}.", "Vivimos en {A}, {C}.", "Enviar a {N}, {A}, {C}", "La tienda está en {A}.", "Factura {X} pagada el {D}.", "Pedido {X}, total {Q} euros.", "Número de serie {X}.", "{T} empieza el {D}.", "{G} dice que el {F} está frío.", "{U} perdió otra vez.", "Capítulo {H}: {T}",
+        "Escriba a {E}.", "Mi teléfono es {P} o {E}.", "Correo: {E}", "Tel.: {P}", "Número de seguro social: {S}", "Pasaporte n.º {K}, titular {N}.", "Pasaporte perdido: {K}.", "Vivimos en {A}, {C}.", "Enviar a {N}, {A}, {C}", "La tienda está en {A}.", "Factura {X} pagada el {D}.", "Pedido {X}, total {Q} euros.", "Número de serie {X}.", "Caja {X} lista.", "{T} {X} {F}.", "{T} empieza el {D}.", "{G} dice que el {F} está frío.", "{U} perdió otra vez.", "Capítulo {H}: {T}",
         "Unas {Q} personas llegaron a {C}.", "{F} {C} {F}.", "{N} <{E}>", "{N}, {P}", "Nuestra {F}, {N}, vive en {A}.", "Invitados: {N}; {N}", "Vi a {N}.", "Cuesta {Q}, no {Q}.",
     ],
 }
 _LISTS = "NEPSKACOXDGZ"
 #: Lists of numbers, for the phone model alone.
-LISTED = ["{P} {P}", "{P} {P} {P}", "{P}, {P}.", "{P} / {P}", "{H} {P}", "{H} {P} {H}", "{P} {B} {F}", "{P} {B}", "{H} {H} {F}", "{H} {H}", "{P} {A}", "{P} - {P}", "{F} {P} {F}", "{H} {X}", "{X} {P}", "({P})", "{F}: {P}; {F}: {P}"]
+LISTED = ["{P} {P}", "{P} {P} {P}", "{P}, {P}.", "{P} / {P}", "{H} {P}", "{H} {P} {P}", "{F}: {P} {P} {P}.", "{H} {P} {H}", "{P} {B} {F}", "{P} {B}", "{H} {H} {F}", "{H} {H}", "{P} {A}", "{P} - {P}", "{F} {P} {F}", "{H} {X}", "{X} {P}", "({P})", "{F}: {P}; {F}: {P}"]
 _MONTHS = {"en": "January February March April May June July August September October November December", "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember", "ru": "января февраля марта апреля мая июня июля августа сентября октября ноября декабря", "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"}
 _ORG = {
     "en": ("Northern Central National City Royal First United Local Public Green".split(), "Bank Council Company Library Hospital Office School Museum Union Foundation Club Registry Airlines Insurance Board Press Master Association".split()),
@@ -182,7 +182,7 @@ class Writer:
     def P(self, lang: str) -> str:
         r = self.r
         d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-        a, b, sep = f"{r.randrange(2, 10)}{d(2)}", f"{r.randrange(2, 10)}{d(2)}", r.choice("-- ..‑ \xa0")
+        a, b, sep = f"{r.randrange(2, 10)}{d(2)}", f"{r.randrange(2, 10)}{d(2)}", r.choice("---    ..‑\xa0")
         s = r.choice([
             *[sep.join([a, b, d(4)])] * 4, f"({a}) {b}-{d(4)}", f"({a}){b}-{d(4)}", f"+1 {a} {b} {d(4)}", f"+1-{a}-{b}-{d(4)}", f"1-{a}-{b}-{d(4)}", f"1 {a} {b} {d(4)}", f"+1{a}{b}{d(4)}", f"+1 ({a}) {b}-{d(4)}", f"020 {d(4)} {d(4)}", f"07{d(3)} {d(6)}", f"+44 20 {d(4)} {d(4)}", f"+44 (0)20 {d(4)} {d(4)}", f"+44 7{d(3)} {d(6)}",
             sep.join(["0" + r.choice("1234567"), d(2), d(2), d(2), d(2)]), f"+33 {r.choice('1234567')} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)}/{d(7)}", f"0{d(3)} {d(6)}", f"+49 (0){d(2)} {d(4)} {d(3)}", f"+49 {d(3)} {d(7)}", f"8 ({d(3)}) {d(3)}-{d(2)}-{d(2)}", f"+7 {d(3)} {d(3)}-{d(2)}-{d(2)}", f"8-{d(3)}-{d(3)}-{d(2)}-{d(2)}", f"1{r.randrange(3, 10)}{d(9)}", f"1{r.randrange(3, 10)}{d(1)} {d(4)} {d(4)}", f"+86 1{r.randrange(3, 10)}{d(1)} {d(4)} {d(4)}", f"010-{d(8)}",
@@ -192,9 +192,8 @@ class Writer:
 
     def nine(self, good: bool) -> str:
         while True:
-            d = f"{self.r.randrange(10**8, 10**9)}"
+            d = f"{self.r.randrange(10**8, 10**9) if self.r.random() < 0.7 else self.r.randrange(10**8):09d}"
             if luhn(d) == good:
-                d = d if self.r.random() < 0.9 or luhn("0" + d[1:]) != good else "0" + d[1:]
                 return self.r.choice(["", "-", " ", " ", "\xa0"]).join([d[:3], d[3:6], d[6:]])
 
     def S(self, lang: str) -> str:
