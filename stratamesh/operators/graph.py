@@ -3,42 +3,64 @@
 from __future__ import annotations
 
 import math
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamesh.operators.mesh import both_ways
 from stratamesh.operators.proximity import EARTH_KM, great_circle_km
-from stratamesh.session import cut
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "cell") -> DataFrame:
-    """node, component (the least node of it). Hooking and pointer jumping: each round a node takes the least label
-    around it and then the label of its label, so a chain of n nodes takes about log n rounds."""
-    e = cut(both_ways(edges))
-    s = cut(nodes.select(F.col(node).alias("n")).distinct().withColumn("c", F.col("n")))
-    while True:
-        heard = e.join(s.select(F.col("n").alias("v"), "c"), "v").groupBy(F.col("u").alias("n")).agg(F.min("c").alias("m"))
-        low = s.join(heard, "n", "left").select("n", "c", F.least("c", F.coalesce("m", "c")).alias("m"))
-        # a component's old label also hears what its members heard
-        hook = low.groupBy("c").agg(F.min("m").alias("h"))
-        t = low.join(hook, "c").select("n", F.col("c").alias("was"), F.least("m", "h").alias("c"))
-        jump = t.join(t.select(F.col("n").alias("c"), F.col("c").alias("cc")), "c").select("n", "was", F.least("c", "cc").alias("c"))
-        jump = cut(jump)
-        if not jump.where("c <> was").limit(1).count():
-            return jump.select(F.col("n").alias(node), F.col("c").alias("component"))
-        s = jump.select("n", "c")
-
-
-def hop_distances(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+from stratamesh.operators.hierarchy import WIDE
+from stratamesh.operators.skew import hot_groups, lookup
+from stratamesh.session import cut, drop
+
+
+def _hot(df: DataFrame, key: str, wide: int) -> DataFrame | None:
+    return hot_groups(df, [key], wide) if df.count() > wide else None
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "cell", wide: int = WIDE) -> DataFrame:
+    """node, component (the least node of it). Contraction: each vertex hooks to its least neighbour if that is smaller,
+    hooks are followed to their end by pointer jumping, and the edges between what is left go on; every round at least
+    halves the vertices that still have edges. Labels and vertices with over ``wide`` rows are salted, so neither a giant
+    component nor a vertex of very many edges is one task. Edges of nodes that are not there, null ends and loops of one
+    node count for nothing."""
+    own = nodes.select(F.col(node).alias("n")).where("n IS NOT NULL").distinct()
+    e = edges.select("u", "v").where("u <> v").join(own.withColumnRenamed("n", "u"), "u", "left_semi").join(own.withColumnRenamed("n", "v"), "v", "left_semi")
+    e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    maps: list[DataFrame] = []
+    while e.limit(1).count():
+        hook = cut(both_ways(e).groupBy(F.col("u").alias("n")).agg(F.least("n", F.min("v")).alias("to")))
+        while True:
+            met = lookup(hook, hook.select(F.col("n").alias("to"), F.col("to").alias("end")), "to", _hot(hook, "to", wide), "n")
+            far = cut(met.select("n", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("went")))
+            drop(hook)
+            hook = far.select("n", "to")
+            hook._cut = far._cut
+            if not far.where("went").limit(1).count():
+                break
+        maps.append(hook)
+        up = lookup(e, hook.select(F.col("n").alias("u"), F.col("to").alias("a")), "u", _hot(e, "u", wide), "v")
+        up = lookup(up, hook.select(F.col("n").alias("v"), F.col("to").alias("b")), "v", _hot(e, "v", wide), "u")
+        left = cut(up.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        drop(e)
+        e = left
+    if not maps:
+        return own.select(F.col("n").alias(node), F.col("n").alias("component"))
+    labels = maps[-1]
+    for m in reversed(maps[:-1]):
+        found = lookup(m, labels.select(F.col("n").alias("to"), F.col("to").alias("c")), "to", _hot(m, "to", wide), "n")
+        labels = found.select("n", F.coalesce("c", "to").alias("to"))
+    return own.join(labels, "n", "left").select(F.col("n").alias(node), F.coalesce("to", "n").alias("component"))
+
+
+def hop_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """node, seed, dist: nearest seed by edge weights (column ``w``, else 1), ties to the smaller seed. Frontier
-    relaxation until no node changes (or for ``max_rounds``): each round only the nodes improved in the last one send."""
+    relaxation until no node changes: each round only the nodes improved in the last one send."""
     e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1))
     e = cut(e.select("u", "v", "w").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     best = cut(seeds.groupBy("node").agg(F.min(F.struct(F.col("dist").alias("dist"), F.col("seed").alias("seed"))).alias("b")))
     front = best
-    for _ in range(max_rounds) if max_rounds is not None else count():
+    while True:
         sent = front.join(e, front["node"] == e["u"]).groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("b.dist") + F.col("w")).alias("dist"), F.col("b.seed").alias("seed"))).alias("s"))
         merged = cut(best.join(sent, "node", "full_outer").select("node", F.least("b", "s").alias("b"), (F.col("s").isNotNull() & (F.col("b").isNull() | (F.col("s") < F.col("b")))).alias("new")))
         front, best = merged.where("new").select("node", "b"), merged.select("node", "b")

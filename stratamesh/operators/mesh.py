@@ -101,9 +101,12 @@ def global_position(df: DataFrame, order: list[str], out: str, total: str | None
     return (r.withColumn(total, F.col("_all")) if total else r).drop("_b", "_start", "_all")
 
 
-def lens_columns(cells: DataFrame, *, people: str, cents: str, milli: str, primary: list[str], code: str) -> DataFrame:
-    """Derived columns: product per head (thousands), density, share of the primary sectors, 0/1 indicators of a code."""
-    codes = [r[0] for r in cells.select(code).where(F.col(code).isNotNull()).distinct().orderBy(code).limit(100).collect()]
+def lens_columns(cells: DataFrame, *, people: str, cents: str, milli: str, primary: list[str], code: str, most_codes: int = 1_000) -> DataFrame:
+    """Derived columns: product per head (thousands), density, share of the primary sectors, 0/1 indicators of a code.
+    Over ``most_codes`` codes are an error, none is left out."""
+    codes = [r[0] for r in cells.select(code).where(F.col(code).isNotNull()).distinct().orderBy(code).limit(most_codes + 1).collect()]
+    if len(codes) > most_codes:
+        raise ValueError(f"over {most_codes} codes in {code}")
     return cells.select(
         "*",
         half_up(ratio(F.col(cents), F.col(people) * 100), 3).alias("product_per_head"),

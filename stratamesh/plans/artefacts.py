@@ -56,10 +56,17 @@ def scan_gdp_table(spark: SparkSession, d: str) -> DataFrame:
     return o.join(F.broadcast(year), "year", "left_semi").groupBy("year").agg(F.sum("v").alias("total"))
 
 
-@query("SELECT p_type, count(*) AS n FROM part WHERE p_type LIKE '%STEEL' OR p_type LIKE '%BRASS' GROUP BY p_type")
+#: Endings of a candidate's text and the codes they stand for.
+_PARTIES = {"BUILDING": 1, "AUTOMOBILE": 2, "MACHINERY": 3, "HOUSEHOLD": 4}
+
+
+@query(f"""SELECT c_nationkey AS district, CASE {' '.join(f"WHEN t LIKE '%{e}' THEN {k}" for e, k in _PARTIES.items())} ELSE -1 END AS party, count(*) AS n
+FROM (SELECT c_nationkey, c_name || ' ' || c_mktsegment AS t FROM customer) GROUP BY ALL""")
 def scan_election(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose text ends in a known code."""
-    return table(spark, d, "part").where(F.col("p_type").endswith("STEEL") | F.col("p_type").endswith("BRASS")).groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    """Party of each elected candidate by the ending of the candidate's text, by district; -1 for an unknown party."""
+    t = F.concat_ws(" ", "c_name", "c_mktsegment")
+    party = F.coalesce(*[F.when(t.endswith(e), k) for e, k in _PARTIES.items()], F.lit(-1))
+    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("district"), party.alias("party")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT unit_id, name FROM unit_rows WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY recorded_at, unit_row_key) = 1")

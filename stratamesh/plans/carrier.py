@@ -67,6 +67,17 @@ def boxes(spark: SparkSession, d: str, size: int = 5) -> DataFrame:
     return p.select(F.col("p_partkey").alias("key"), x0.cast("double").alias("x0"), (x0 + F.col("p_size") / 8.0).alias("x1"), y0.cast("double").alias("y0"), (y0 + F.col("p_size") / 16.0).alias("y1"))
 
 
+#: An outline that is not convex, and a hole in it, in eighths of a box's sides.
+OUTLINE = [(0, 0), (4, 2), (8, 0), (6, 4), (8, 8), (3, 6), (0, 8), (1, 4)]
+HOLE = [(3, 3), (5, 3), (5, 5), (3, 5)]
+
+
+def polygons(spark: SparkSession, d: str) -> DataFrame:
+    """key, rings: the boxes as polygons with a hole (coordinates exact in 128ths)."""
+    at = lambda a, b: F.struct((F.col("x0") + (F.col("x1") - F.col("x0")) * F.lit(a / 8)).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.lit(b / 8)).alias("y"))
+    return boxes(spark, d).select("key", F.array(*[F.array(*[at(a, b) for a, b in r]) for r in (OUTLINE, HOLE)]).alias("rings"))
+
+
 def unit_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "unit_rows").select("unit_row_key", "unit_id", "name", "status", "sovereign", "capital", "valid_from", "valid_to", "truth", "geometry_ref").distinct()
 
@@ -75,6 +86,22 @@ def event_days(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "unit_events").where("event_kind <> 'check' AND event_date IS NOT NULL").select(F.col("event_date").alias("day"), "unit_id", "event_kind").distinct()
 
 
+def _crossed(x: str, y: str, box: str) -> str:
+    at = lambda c, k, v: f"({box}.{c}0 + ({box}.{c}1 - {box}.{c}0) * CAST({v / 8} AS DOUBLE))"
+    out = []
+    for r in (OUTLINE, HOLE):
+        for (a, b), (c, e) in zip(r, r[1:] + r[:1]):
+            if b != e:
+                ax, ay, bx, by = at("x", 0, a), at("y", 0, b), at("x", 0, c), at("y", 0, e)
+                out.append(f"CASE WHEN ({ay} > {y}) <> ({by} > {y}) AND {x} < ({bx} - {ax}) * ({y} - {ay}) / ({by} - {ay}) + {ax} THEN 1 ELSE 0 END")
+    return " + ".join(out)
+
+
+def inside(x: str, y: str, box: str = "b") -> str:
+    """SQL: the point is in the polygon of a row of ``boxes``."""
+    return f"({box}.x0 <= {x} AND {x} <= {box}.x1 AND {box}.y0 <= {y} AND {y} <= {box}.y1 AND ({_crossed(x, y, box)}) % 2 = 1)"
+
+
 _SUMS = ", ".join(f"CAST(sum(CASE WHEN s = '{s}' THEN c ELSE 0 END) AS BIGINT) AS s_{s}" for s in SECTORS)
 MESH_SQL = f"""
 newest AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY cell ORDER BY loaded_at DESC, coalesce(area, -1) DESC, id) = 1),

@@ -166,10 +166,14 @@ def graph_colour(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def generated_names(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy unique names of regions from their largest places."""
-    s = C.places(spark, d).join(C.other_split(spark, d), "cell")
+    """Greedy unique names of regions from their largest places. A region may need as many different names as there are
+    regions, one more than others can take from it; further ones cannot matter."""
+    split = C.other_split(spark, d)
+    n = split.agg(F.count_distinct("region")).first()[0]
+    s = C.places(spark, d).join(split, "cell")
+    s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("region", "name").orderBy(F.col("population").desc(), "place_key"))).where("_rn = 1").drop("_rn")
     w = Window.partitionBy("region").orderBy(F.col("population").desc(), "place_key")
-    c = s.withColumn("place", F.row_number().over(w)).where("place <= 5").withColumn("weight", F.max("population").over(Window.partitionBy("region")))
+    c = s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("weight", F.max("population").over(Window.partitionBy("region")))
     return X.unique_names(c)
 
 
@@ -188,7 +192,8 @@ def json_walk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_load(spark: SparkSession, d: str) -> DataFrame:
-    """Packs of the raw records as flat rows with their parents, methods and seeds."""
+    """Packs of the raw records as flat rows with their places in the tree (``ords``; a parent's are all but the last),
+    methods and seeds."""
     t = shred(table(spark, d, "raw_records"), key="raw_id", payload="payload", keep=[], repeated=["children"], paths=r"(?:\.children\[\])*(?:\.meta\.(?:method|seed|id))?")
     i = instances(t, ["raw_id"], F.regexp_extract("path", r"^(.*\[\])?", 0), {"method": "meta.method", "seed": "meta.seed", "pack": "meta.id"})
     return i.select("raw_id", F.size("ords").alias("level"), "ords", "method", "seed", "pack")

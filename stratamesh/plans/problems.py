@@ -80,6 +80,50 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested_tables(spark, d).distinct()
 
 
+def _objects(spark: SparkSession, d: str, ancestors: str, attributes: dict[str, str]) -> DataFrame:
+    """One row for each object at a path that matches ``ancestors``, with the scalars at its ``attributes``; one parse."""
+    fields = "|".join(a.replace(".", r"\.") for a in attributes.values())
+    t = shred(table(spark, d, "raw_records"), key="raw_id", payload="payload", keep=["record_kind"], repeated=["children", "regions", "events", "changes"], paths=rf"(?:{ancestors})(?:\.(?:{fields}))?")
+    return instances(t, ["raw_id", "record_kind"], F.regexp_extract("path", r"^(.*\[\])?", 0), attributes)
+
+
+def _holder(below: int) -> Column:
+    """Position of the pack that holds an object with so many lists of its own; empty for a scenario record."""
+    return F.when(F.col("record_kind") == "pack", _position(F.slice("ords", 1, F.greatest(F.lit(0), F.size("ords") - below)))).otherwise("")
+
+
+def _ord(back: int) -> Column:
+    return F.get("ords", F.size("ords") - back)
+
+
+def p3_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pack with its parent and settings."""
+    g = _objects(spark, d, _PACK, {"method": "meta.method", "mesh_version": "meta.meshVersion", "pack_name": "meta.id", "scope_kind": "meta.scope.kind"}).where("record_kind = 'pack'")
+    parent = F.when(F.size("ords") > 0, _position(F.slice("ords", 1, F.size("ords") - 1))).otherwise("")
+    return g.select("raw_id", _position(F.col("ords")).alias("pack"), parent.alias("parent"), "method", "mesh_version", "pack_name", "scope_kind")
+
+
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Every region, keyed to its pack; its id as a whole number, null where it is none."""
+    g = _objects(spark, d, rf"{_PACK}\.regions\[\]", {"id": "id", "region_name": "name", "capital": "capital"}).where("record_kind = 'pack'")
+    return g.select("raw_id", _holder(1).alias("pack"), _ord(1).alias("region_no"), _whole(F.col("id")).alias("region"), "region_name", "capital")
+
+
+def p3_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every event of a scenario, keyed to the pack that holds the scenario (empty for a scenario record)."""
+    g = _objects(spark, d, rf"(?:{_PACK}\.meta\.scenario)?\.events\[\]", {"event_date": "date", "title": "title", "note": "note"}).where((F.col("record_kind") == "scenario") == (F.col("ancestor") == ".events[]"))
+    return g.select("raw_id", _holder(1).alias("holder"), _ord(1).alias("event_no"), "event_date", "title", "note")
+
+
+_CHANGE = {"created": "create", "altered": "alter", "renamed": "rename", "dissolved": "dissolve", "new_name": "name", "status": "status", "sovereign": "sovereign", "capital": "capital"}
+
+
+def p3_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every change, keyed to its event."""
+    g = _objects(spark, d, rf"(?:{_PACK}\.meta\.scenario)?{_CREATE}", _CHANGE).where((F.col("record_kind") == "scenario") == (F.col("ancestor") == ".events[].changes[]"))
+    return g.select("raw_id", _holder(2).alias("holder"), _ord(2).alias("event_no"), _ord(1).alias("change_no"), *_CHANGE)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     cells, places, cmas, points = (table(spark, d, t) for t in ("cells", "places", "cmas", "map_points"))
 
@@ -134,7 +178,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs_within(table(spark, d, "map_points"), key="point_key", lat="lat", lng="lng", radius_km=0.25).select(F.col("a").alias("point_a"), F.col("b").alias("point_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p3_found, p4_found, p5_found, p5_paths, p5_sets, p5_below, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p3_found, p3_packs, p3_regions, p3_events, p3_changes, p4_found, p5_found, p5_paths, p5_sets, p5_below, p6_found)}
 
 _NORM = r"trim(regexp_replace(nfc_normalize({0}), '[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+', ' ', 'g'))"
 _HISTORY = f"""
@@ -176,16 +220,7 @@ WITH RECURSIVE newest AS (
   UNION ALL SELECT l.node_id, list_append(w.path, l.node_id) FROM links l JOIN walk w ON l.parent = w.node_id
 ), below AS (SELECT up, count(*) - 1 AS n FROM (SELECT unnest(path) AS up FROM walk) GROUP BY up)
 """
-SQL = {
-    "p1_found": _HISTORY.replace("{0}", ""),
-    "p1_history": _HISTORY.replace("{0}", "st.name AS name, st.status AS status, st.sovereign AS sovereign, st.capital AS capital, "),
-    "p2_found": """
-SELECT event_key, unit_row_key FROM (
-  SELECT e.event_key, v.unit_row_key, row_number() OVER (PARTITION BY e.event_key ORDER BY v.recorded_at DESC, v.unit_row_key DESC) AS rn
-  FROM unit_events e JOIN unit_rows v ON v.unit_id = e.unit_id AND v.truth = e.truth
-   AND v.valid_from <= e.event_date AND (v.valid_to IS NULL OR e.event_date < v.valid_to) AND v.recorded_at <= e.observed_at
-) WHERE rn = 1""",
-    "p3_found": r"""
+_RECORDS = r"""
 WITH RECURSIVE bare AS (
   SELECT raw_id, record_kind, regexp_replace(payload, '^[\s\p{Z}\x{feff}]+|[\s\p{Z}\x{feff}]+$', '', 'g') AS s FROM raw_records
 ), opened AS (
@@ -200,22 +235,43 @@ WITH RECURSIVE bare AS (
       SELECT raw_id, pos, CASE json_type(j, '$.children') WHEN 'ARRAY' THEN CAST(j->'$.children' AS JSON[]) WHEN 'OBJECT' THEN [j->'$.children'] ELSE [] END AS kids FROM packs)
   ) WHERE json_type(kids[i]) = 'OBJECT'
 ), regions AS (
-  SELECT raw_id, pos, unnest(CASE json_type(j, '$.regions') WHEN 'ARRAY' THEN CAST(j->'$.regions' AS JSON[]) WHEN 'OBJECT' THEN [j->'$.regions'] ELSE [] END) AS r FROM packs
+  SELECT raw_id, pos, rs[i] AS r, i - 1 AS no FROM (SELECT raw_id, pos, rs, unnest(range(1, len(rs) + 1)) AS i FROM (SELECT raw_id, pos, CASE json_type(j, '$.regions') WHEN 'ARRAY' THEN CAST(j->'$.regions' AS JSON[]) WHEN 'OBJECT' THEN [j->'$.regions'] ELSE [] END AS rs FROM packs))
 ), stories AS (
   SELECT raw_id, pos, j->'$.meta.scenario' AS s FROM packs
   UNION ALL SELECT raw_id, '', j FROM good WHERE record_kind = 'scenario'
 ), happenings AS (
-  SELECT raw_id, pos || '/' || (i - 1) AS pos, es[i] AS e FROM (
+  SELECT raw_id, pos AS holder, i - 1 AS event_no, pos || '/' || (i - 1) AS pos, es[i] AS e FROM (
     SELECT raw_id, pos, es, unnest(range(1, len(es) + 1)) AS i FROM (
       SELECT raw_id, pos, CASE json_type(s, '$.events') WHEN 'ARRAY' THEN CAST(s->'$.events' AS JSON[]) WHEN 'OBJECT' THEN [s->'$.events'] ELSE [] END AS es FROM stories))
 ), changes AS (
-  SELECT raw_id, pos, unnest(CASE json_type(e, '$.changes') WHEN 'ARRAY' THEN CAST(e->'$.changes' AS JSON[]) WHEN 'OBJECT' THEN [e->'$.changes'] ELSE [] END) AS c FROM happenings
+  SELECT raw_id, holder, event_no, pos, i - 1 AS change_no, cs[i] AS c FROM (SELECT raw_id, holder, event_no, pos, cs, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT raw_id, holder, event_no, pos, CASE json_type(e, '$.changes') WHEN 'ARRAY' THEN CAST(e->'$.changes' AS JSON[]) WHEN 'OBJECT' THEN [e->'$.changes'] ELSE [] END AS cs FROM happenings))
 )
+"""
+
+
+def _scalar(j: str, path: str, name: str) -> str:
+    return f"CASE WHEN json_type({j}, '$.{path}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN {j}->>'$.{path}' END AS {name}"
+
+
+SQL = {
+    "p1_found": _HISTORY.replace("{0}", ""),
+    "p1_history": _HISTORY.replace("{0}", "st.name AS name, st.status AS status, st.sovereign AS sovereign, st.capital AS capital, "),
+    "p2_found": """
+SELECT event_key, unit_row_key FROM (
+  SELECT e.event_key, v.unit_row_key, row_number() OVER (PARTITION BY e.event_key ORDER BY v.recorded_at DESC, v.unit_row_key DESC) AS rn
+  FROM unit_events e JOIN unit_rows v ON v.unit_id = e.unit_id AND v.truth = e.truth
+   AND v.valid_from <= e.event_date AND (v.valid_to IS NULL OR e.event_date < v.valid_to) AND v.recorded_at <= e.observed_at
+) WHERE rn = 1""",
+    "p3_found": _RECORDS + r"""
 SELECT raw_id, 'pack' AS entity, up AS parent_id, pos AS child_id FROM packs
 UNION
 SELECT raw_id, 'region', pos, CAST(CAST(TRY_CAST(r->>'$.id' AS DOUBLE) AS BIGINT) AS VARCHAR) FROM regions WHERE TRY_CAST(r->>'$.id' AS DOUBLE) IS NOT NULL
 UNION
 SELECT raw_id, 'create', pos, c->>'$.create' FROM changes WHERE c->>'$.create' IS NOT NULL""",
+    "p3_packs": _RECORDS + "SELECT raw_id, pos AS pack, up AS parent, " + ", ".join(_scalar("j", p, n) for n, p in (("method", "meta.method"), ("mesh_version", "meta.meshVersion"), ("pack_name", "meta.id"), ("scope_kind", "meta.scope.kind"))) + " FROM packs",
+    "p3_regions": _RECORDS + "SELECT raw_id, pos AS pack, CAST(no AS INTEGER) AS region_no, CASE WHEN TRY_CAST(r->>'$.id' AS DOUBLE) = floor(TRY_CAST(r->>'$.id' AS DOUBLE)) THEN CAST(TRY_CAST(r->>'$.id' AS DOUBLE) AS BIGINT) END AS region, " + ", ".join(_scalar("r", p, n) for n, p in (("region_name", "name"), ("capital", "capital"))) + " FROM regions WHERE json_type(r) = 'OBJECT'",
+    "p3_events": _RECORDS + "SELECT raw_id, holder, CAST(event_no AS INTEGER) AS event_no, " + ", ".join(_scalar("e", p, n) for n, p in (("event_date", "date"), ("title", "title"), ("note", "note"))) + " FROM happenings WHERE json_type(e) = 'OBJECT'",
+    "p3_changes": _RECORDS + "SELECT raw_id, holder, CAST(event_no AS INTEGER) AS event_no, CAST(change_no AS INTEGER) AS change_no, " + ", ".join(_scalar("c", p, n) for n, p in _CHANGE.items()) + " FROM changes WHERE json_type(c) = 'OBJECT'",
     "p4_found": r"""
 WITH refs AS (
   SELECT 'cells' AS from_table, cell AS from_key, CAST(n AS VARCHAR) AS ref, loaded_at AS seen_at, 0 AS by_id FROM (SELECT cell, loaded_at, unnest(neighbours) AS n FROM cells) WHERE n <> -1

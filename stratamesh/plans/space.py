@@ -48,14 +48,21 @@ def subbasin(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).groupBy("key").agg(half_up(F.sum("area"), 4).alias("covered"), F.count(F.lit(1)).alias("n_cells"))
 
 
-@query(sql("SELECT m.cell, (SELECT min(key) FROM boxes b WHERE b.x0 <= lon AND lon < b.x1 AND b.y0 <= lat AND lat < b.y1) AS key FROM mesh m"))
+@query(sql(f"SELECT m.cell, min(b.key) AS key FROM mesh m LEFT JOIN boxes b ON {C.inside('m.lon', 'm.lat')} GROUP BY m.cell"))
 def points_within(spark: SparkSession, d: str) -> DataFrame:
-    """Smallest containing key, null where none contains the point."""
+    """Smallest key of the polygons that hold a cell's centre, null where none does."""
     cells = C.newest_cells(spark, d).select("cell", "lon", "lat")
-    g = P.in_boxes(cells, C.boxes(spark, d)).groupBy("cell").agg(F.min("key").alias("key"))
+    g = P.points_in_polygons(cells, C.polygons(spark, d)).groupBy("cell").agg(F.min("key").alias("key"))
     return cells.select("cell").join(g, "cell", "left")
 
 
+@query(sql(f"SELECT DISTINCT p.point_key, b.key AS region FROM map_points p JOIN boxes b ON {C.inside('p.lng', 'p.lat')}"))
+def point_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Every polygon that holds a seed, community or overlay point, as written."""
+    p = table(spark, d, "map_points").select("point_key", "lng", "lat").distinct()
+    return P.points_in_polygons(p, C.polygons(spark, d), lon="lng").select("point_key", F.col("key").alias("region")).distinct()
+
+
 @query(sql("SELECT m.cell, coalesce((SELECT min(1600 + key % 150) FROM boxes b WHERE b.x0 <= lon AND lon < b.x1 AND b.y0 <= lat AND lat < b.y1), 0) AS year FROM mesh m"))
 def earliest_cover(spark: SparkSession, d: str) -> DataFrame:
     cells = C.newest_cells(spark, d).select("cell", "lon", "lat")
@@ -197,21 +204,25 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-@query()
+_BOTH = "both_ AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges)"
+_LABELS = "lab(cell, c) USING KEY (cell) AS (SELECT cell, cell FROM mesh UNION SELECT e.u, min(l.c) FROM both_ e JOIN lab l ON l.cell = e.v JOIN recurring.lab r ON r.cell = e.u WHERE l.c < r.c GROUP BY e.u)"
+
+
+@query(sql("SELECT cell, c AS component FROM lab", f"{_BOTH}, {_LABELS}", recursive=True))
 def mesh_components(spark: SparkSession, d: str) -> DataFrame:
     """The component of every cell of the whole mesh."""
     return G.connected_components(C.newest_cells(spark, d), C.edges(spark, d))
 
 
-@query()
+@query(sql("SELECT c AS component, count(*) AS n_cells FROM lab GROUP BY c", f"{_BOTH}, {_LABELS}", recursive=True))
 def mesh_component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return mesh_components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-_REGIONS = "both_ AS (SELECT u, v, a.region FROM (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges) JOIN other a ON a.cell = u JOIN other b ON b.cell = v WHERE a.region = b.region), reach AS (SELECT cell AS a, cell AS b FROM mesh UNION SELECT r.a, e.v FROM reach r JOIN both_ e ON e.u = r.b)"
+_SAME = "same AS (SELECT u, v FROM edges JOIN other a ON a.cell = u JOIN other b ON b.cell = v WHERE a.region = b.region), both_ AS (SELECT u, v FROM same UNION ALL SELECT v, u FROM same)"
 
 
-@query()
+@query(sql("SELECT region, count(DISTINCT c) AS n_pieces FROM lab JOIN other USING (cell) GROUP BY region HAVING count(DISTINCT c) > 1", f"{_SAME}, {_LABELS}", recursive=True))
 def contiguity_log(spark: SparkSession, d: str) -> DataFrame:
     """Regions in more than one piece."""
     split = C.other_split(spark, d)
@@ -227,27 +238,17 @@ def sea_crossings(spark: SparkSession, d: str) -> DataFrame:
     return G.cross_components(cells, e, node="cell").select("u", "v", half_up(F.col("km"), 3).alias("km"))
 
 
-_FILL = """seeds AS (SELECT cell AS node, min(place_key) AS seed FROM spots WHERE population >= 20000 AND cell IN (SELECT cell FROM mesh) GROUP BY cell),
-both_ AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), walk AS (SELECT node, seed, 0 AS dist FROM seeds UNION SELECT e.v, w.seed, w.dist + 1 FROM walk w JOIN both_ e ON e.u = w.node WHERE w.dist < 12)"""
+_FILL = """seeds AS (SELECT cell AS node, min(place_key) AS seed FROM spots WHERE population >= 20000 AND cell IN (SELECT cell FROM mesh) GROUP BY cell), both_ AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges),
+walk(node, m) USING KEY (node) AS (SELECT node, {'dist': 0, 'seed': seed} FROM seeds UNION
+  SELECT e.v, min({'dist': w.m.dist + 1, 'seed': w.m.seed}) FROM both_ e JOIN walk w ON w.node = e.u LEFT JOIN recurring.walk r ON r.node = e.v WHERE r.node IS NULL OR {'dist': w.m.dist + 1, 'seed': w.m.seed} < r.m GROUP BY e.v)"""
 
 
-@query(sql("SELECT node AS cell, seed, dist FROM (SELECT node, seed, dist, row_number() OVER (PARTITION BY node ORDER BY dist, seed) AS rn FROM walk) WHERE rn = 1 AND dist <= 12", _FILL, recursive=True))
+@query(sql("SELECT node AS cell, m.seed AS seed, m.dist AS dist FROM walk", _FILL, recursive=True))
 def shortest_path_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Each cell's nearest large place by steps over the mesh, as far as its SQL goes (12 steps); ties to the smaller
-    key. ``graph_fill`` has every reachable cell."""
-    return _fill(spark, d, 12).where("dist <= 12")
-
-
-@query()
-def graph_fill(spark: SparkSession, d: str) -> DataFrame:
     """Each reachable cell's nearest large place by steps over the mesh, however far; ties to the smaller key."""
-    return _fill(spark, d)
-
-
-def _fill(spark: SparkSession, d: str, *rounds: int) -> DataFrame:
     m = C.newest_cells(spark, d)
     seeds = C.places(spark, d).where("population >= 20000").join(m.select("cell"), "cell", "left_semi").groupBy(F.col("cell").alias("node")).agg(F.min("place_key").alias("seed")).withColumn("dist", F.lit(0))
-    return G.hop_distances(seeds, C.edges(spark, d), *rounds).select(F.col("node").alias("cell"), "seed", "dist")
+    return G.hop_distances(seeds, C.edges(spark, d)).select(F.col("node").alias("cell"), "seed", "dist")
 
 
 _TREE = """newest_t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC) AS rn FROM tree_nodes) WHERE rn = 1), told AS (SELECT child, min(node_id) AS lister FROM (SELECT node_id, unnest(children) AS child FROM newest_t) GROUP BY child),
@@ -326,12 +327,15 @@ def geometry_box(spark: SparkSession, d: str) -> DataFrame:
     return b.select("key").join(g, "key", "left").select("key", F.coalesce("people", F.lit(0)).alias("people"))
 
 
-@query(sql("""SELECT a.cell, (a.milli / CAST(1000 AS DOUBLE)) AS own, x.area AS other_area FROM mesh a JOIN newest x ON x.cell = a.cell WHERE abs(a.milli / CAST(1000 AS DOUBLE) - coalesce(x.area, 0)) > greatest(0.01, 0.001 * coalesce(x.area, 0))"""))
+_AREAS = "(SELECT cell, arg_min(coalesce(area, 0), (loaded_at, coalesce(area, 0), id)) AS own, arg_max(coalesce(area, 0), (loaded_at, coalesce(area, 0), id)) AS other_area FROM cells GROUP BY cell)"
+
+
+@query(f"SELECT cell, own, other_area FROM {_AREAS} WHERE abs(own - other_area) > greatest(CAST(0.01 AS DOUBLE), CAST(0.001 AS DOUBLE) * other_area)")
 def land_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    """Cells whose two area measures disagree beyond the tolerance."""
-    m = C.mesh(spark, d).select("cell", (F.col("milli") / 1000.0).alias("own")).join(C.newest_cells(spark, d).select("cell", F.col("area").alias("other_area")), "cell")
-    a = F.coalesce("other_area", F.lit(0.0))
-    return m.where(F.abs(F.col("own") - a) > F.greatest(F.lit(0.01), 0.001 * a))
+    """Cells whose area as first and as last loaded disagree beyond the tolerance."""
+    x = F.struct("loaded_at", F.coalesce("area", F.lit(0.0)).alias("area"), "id")
+    m = table(spark, d, "cells").groupBy("cell").agg(F.min(x).alias("a"), F.max(x).alias("b")).select("cell", F.col("a.area").alias("own"), F.col("b.area").alias("other_area"))
+    return m.where(F.abs(F.col("own") - F.col("other_area")) > F.greatest(F.lit(0.01), 0.001 * F.col("other_area")))
 
 
 @query(sql("SELECT key FROM (SELECT key, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY CAST(x0 AS BIGINT) ORDER BY (x1 - x0) * (y1 - y0) DESC, key) AS rn FROM boxes) WHERE area >= 2 OR rn = 1"))

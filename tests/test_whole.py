@@ -29,7 +29,7 @@ def write_cells(spark, d, near, at=lambda c: (c * 0.1 - 100, 50.0)):
     spark.createDataFrame(rows, CELLS).write.parquet(f"{d}/cells.parquet")
 
 
-def test_graph_fill_reaches_every_cell(spark, tmp_path):
+def test_shortest_path_fill_reaches_every_cell(spark, tmp_path):
     r = random.Random(3)
     near = {c: [n for n in (c - 1, c + 1) if 0 <= n < 60] for c in range(60)} | {c: [] for c in (60, 61)}
     near[60].append(61)
@@ -49,7 +49,7 @@ def test_graph_fill_reaches_every_cell(spark, tmp_path):
                 todo.append(v)
         for c, n in dist.items():
             want[c] = min(want.get(c, (n, key)), (n, key))
-    got = {x.cell: (x.dist, x.seed) for x in space.QUERIES["graph_fill"](spark, str(tmp_path)).collect()}
+    got = {x.cell: (x.dist, x.seed) for x in space.QUERIES["shortest_path_fill"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 60 and max(n for n, _ in want.values()) > 12
 
 
