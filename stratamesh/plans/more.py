@@ -11,10 +11,11 @@ from stratamesh.operators import regions as R
 from stratamesh.operators import spatial as P
 from stratamesh.operators.temporal import valid_on
 from stratamesh.plans import carrier as C
+from stratamesh.plans import problems
 from stratamesh.plans.carrier import sql
 from stratamesh.plans.registry import Registry
 from stratamesh.session import table
-from stratamesh.sources.nested import instances, shred
+from stratamesh.sources.nested import shred
 
 query = Registry()
 
@@ -183,20 +184,18 @@ def merge_short(spark: SparkSession, d: str) -> DataFrame:
     return X.merge_short(o, ["o_custkey"], 45.0)
 
 
-@query()
+@query(problems._RECORDS + """SELECT raw_id, list_sort(list(DISTINCT v)) AS units FROM (SELECT raw_id, t.atom ->> '$' AS v, t.fullkey AS k, t.type AS kind FROM good, json_tree(good.j) t)
+WHERE regexp_matches(k, '\\.geometry.*\\.unit$') AND kind NOT IN ('ARRAY', 'OBJECT', 'NULL') GROUP BY raw_id""")
 def json_walk(spark: SparkSession, d: str) -> DataFrame:
     """Every unit that a geometry in the raw records names, however deep."""
     t = shred(table(spark, d, "raw_records"), key="raw_id", payload="payload", keep=[], repeated=["children", "regions", "events", "changes"], paths=r".*\.geometry.*\.unit")
     return t.groupBy("raw_id").agg(F.sort_array(F.collect_set("value")).alias("units"))
 
 
-@query()
+@query(problems.SQL["p3_packs"])
 def tree_load(spark: SparkSession, d: str) -> DataFrame:
-    """Packs of the raw records as flat rows with their places in the tree (``ords``; a parent's are all but the last),
-    methods and seeds."""
-    t = shred(table(spark, d, "raw_records"), key="raw_id", payload="payload", keep=[], repeated=["children"], paths=r"(?:\.children\[\])*(?:\.meta\.(?:method|seed|id))?")
-    i = instances(t, ["raw_id"], F.regexp_extract("path", r"^(.*\[\])?", 0), {"method": "meta.method", "seed": "meta.seed", "pack": "meta.id"})
-    return i.select("raw_id", F.size("ords").alias("level"), "ords", "method", "seed", "pack")
+    """Packs of the raw records as flat rows with their parents, methods and scopes."""
+    return problems.p3_packs(spark, d)
 
 
 QUERIES, SQL = query.queries, query.sql

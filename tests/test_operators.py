@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -221,3 +222,49 @@ def test_stream_of_events(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.event_kind, r.n) for r in spark.sql("SELECT * FROM by_day").collect()) == [("alter", 1), ("alter", 1), ("create", 1)]
+
+
+@pytest.mark.parametrize(("seed", "wide"), [(0, 1_000_000), (1, 3), (2, 10)])
+def test_components_against_brute_force(spark, seed, wide):
+    r = random.Random(seed)
+    n = 150
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(90)] + [(5, k) for k in range(60, 90)] + [(k, k + 1) for k in range(100, 130)] + [(3, None), (7, 7), (7, 9999)]
+    root = {k: k for k in range(n)}
+    for _ in range(n):
+        for a, b in pairs:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    nodes = spark.createDataFrame([(k,) for k in range(n)] + [(4,), (None,)], "cell bigint")
+    got = G.connected_components(nodes, spark.createDataFrame(pairs, "u bigint, v bigint"), wide=wide).collect()
+    assert {x.cell: x.component for x in got} == root and len(got) == n
+
+
+@pytest.mark.parametrize(("seed", "band", "rows"), [(0, 32, 1_000_000), (1, 2, 5), (2, 1, 40)])
+def test_points_in_polygons_against_brute_force(spark, seed, band, rows):
+    r = random.Random(seed)
+
+    def star(x, y, size, corners):
+        at = sorted(r.random() * 2 * math.pi for _ in range(corners))
+        return [(x + size * q * math.cos(t), y + size * q * math.sin(t)) for t in at for q in (r.uniform(0.3, 1),)]
+
+    shapes = {k: [star(r.uniform(-20, 20), r.uniform(-20, 20), r.choice((0.01, 1, 3, 30)), r.choice((3, 8, 60)))] for k in range(25)}
+    for k in (1, 2, 3):
+        x, y = shapes[k][0][0]
+        shapes[k].append([(x - 0.5, y - 0.5), (x + 0.5, y - 0.5), (x + 0.5, y + 0.5), (x - 0.5, y + 0.5), (x - 0.5, y - 0.5)])
+    shapes[98], shapes[99] = [], None
+    points = [(i, r.gauss(0, 8), r.gauss(0, 8)) for i in range(300)] + [(900 + i, 0.5, 0.25) for i in range(60)] + [(1, None, 2.0), (2, 3.0, None)] + [(i, *p) for i, p in enumerate(shapes[4][0])]
+
+    def inside(x, y, rings):
+        n = 0
+        for ring in rings:
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+                n += (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+        return n % 2 == 1
+
+    want = sorted((i, k) for i, x, y in points if x is not None and y is not None for k, rings in shapes.items() if rings and inside(x, y, rings))
+    p = spark.createDataFrame([(*x, "s") for x in points], "id int, lon double, lat double, _s string")
+    g = spark.createDataFrame([(k, v, 0) for k, v in shapes.items()] + [(None, shapes[0], 0)], "key int, rings array<array<struct<x:double,y:double>>>, lon int")
+    got = P.points_in_polygons(p, g, edges_a_band=band, max_rows=rows)
+    assert got.columns == ["id", "lon", "lat", "_s", "key"]
+    assert sorted((x.id, x.key) for x in got.collect()) == want and len(want) > 300
+    assert P.points_in_polygons(p.limit(0), g).count() == P.points_in_polygons(p, g.limit(0)).count() == 0
