@@ -82,7 +82,8 @@ def mulberry32(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1, 9).select(F.col("id").alias("draw"), S.mulberry32(F.lit(0), F.col("id")).alias("n"))
 
 
-@query()
+@query(C.sql("""SELECT place_key, CASE WHEN name IS NOT NULL THEN CAST(list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(range(octet_length(encode(name))), lambda i: CAST('0x' || substr(hex(encode(name)), CAST(2 * i + 1 AS INTEGER), 2) AS UBIGINT))),
+  lambda h, b: (xor(h, b) * CAST(16777619 AS UBIGINT)) % CAST(4294967296 AS UBIGINT)) AS BIGINT) END AS hash FROM spots"""))
 def fnv1a(spark: SparkSession, d: str) -> DataFrame:
     return C.places(spark, d).select("place_key", S.fnv1a(F.col("name")).alias("hash"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratamesh.functions.scalar import half_up, ratio, slug, xml_escape
 from stratamesh.operators import mesh as M
 from stratamesh.operators import regions as R
+from stratamesh.operators import spatial as P
 from stratamesh.plans import carrier as C
 from stratamesh.plans.carrier import SECTORS, sql
 from stratamesh.plans.registry import Registry
@@ -58,14 +59,12 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return M.polygon_scope(C.mesh(spark, d), _rings()).select("cell")
 
 
-@query(sql("""SELECT place_key, coalesce((SELECT min(region) FROM (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1, region FROM mesh JOIN assigned USING (cell) GROUP BY region) b
-  WHERE b.x0 <= s.lng AND s.lng <= b.x1 AND b.y0 <= s.lat AND s.lat <= b.y1), -1) AS region FROM spots s"""))
+@query(sql(f"SELECT place_key, coalesce(min(b.key), -1) AS region FROM spots s LEFT JOIN boxes b ON {C.inside('s.lng', 's.lat')} GROUP BY place_key"))
 def region_at(spark: SparkSession, d: str) -> DataFrame:
-    """The first region whose box holds a place, -1 if none. Regions are few: their boxes go to every task."""
-    b = C.mesh(spark, d).join(C.assignment(spark, d), "cell").groupBy("region").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
-    arr = b.agg(F.collect_list(F.struct("region", "x0", "x1", "y0", "y1")).alias("bs"))
-    hit = F.filter("bs", lambda x: (x["x0"] <= F.col("lng")) & (F.col("lng") <= x["x1"]) & (x["y0"] <= F.col("lat")) & (F.col("lat") <= x["y1"]))
-    return C.places(spark, d).crossJoin(F.broadcast(arr)).select("place_key", F.coalesce(F.array_min(F.transform(hit, lambda x: x["region"])), F.lit(-1)).alias("region"))
+    """The first region whose polygon holds a place, -1 if none."""
+    p = C.places(spark, d).select("place_key", "lng", "lat")
+    g = P.points_in_polygons(p, C.polygons(spark, d), lon="lng").groupBy("place_key").agg(F.min("key").alias("key"))
+    return p.select("place_key").distinct().join(g, "place_key", "left").select("place_key", F.coalesce("key", F.lit(-1)).alias("region"))
 
 
 @query(sql(f"""SELECT cell, {_q('cents', 'people * 100', 3)} AS product_per_head, {_q('people * 1000', 'milli', 4)} AS density, {_q('s_AF + s_RF', 'cents', 4)} AS primary_share,
@@ -526,9 +525,16 @@ def lookup_join(spark: SparkSession, d: str) -> DataFrame:
     return C.mesh(spark, d).select("cell", (F.col("cell") % 30).cast("int").alias("n_nationkey")).join(table(spark, d, "nation"), "n_nationkey").select("cell", F.col("n_name").alias("label"))
 
 
-@query(sql("SELECT cell, CAST(floor(lon / 4) AS BIGINT) AS i, CAST(floor(lat / 4) AS BIGINT) AS j FROM mesh"))
+_PARENT = "(x - (CAST(1 AS BIGINT) << 52)) | (CAST(7 AS BIGINT) << CAST(3 * (15 - ((x >> 52) & 15)) AS INTEGER))"
+
+
+@query(sql(f"SELECT cell, lpad(lower(to_hex({_PARENT})), 15, '0') AS parent FROM (SELECT cell, CAST('0x' || id AS BIGINT) AS x FROM mesh) WHERE (x >> 52) & 15 > 0"))
 def parent_join(spark: SparkSession, d: str) -> DataFrame:
-    return C.mesh(spark, d).select("cell", F.floor(F.col("lon") / 4).alias("i"), F.floor(F.col("lat") / 4).alias("j"))
+    """The index of the next coarser cell: the resolution one less and the digit of the old resolution unused."""
+    m = C.mesh(spark, d).select("cell", F.conv("id", 16, 10).cast("bigint").alias("x"))
+    level = F.shiftright("x", 52).bitwiseAND(F.lit(15))
+    parent = F.expr("(x - shiftleft(1L, 52)) | shiftleft(7L, cast(3 * (15 - (shiftright(x, 52) & 15)) as int))")
+    return m.where(level > 0).select("cell", F.lpad(F.lower(F.hex(parent)), 15, "0").alias("parent"))
 
 
 @query(sql("SELECT cell, list_sort(list(DISTINCT n)) AS ring FROM (SELECT u AS cell, v AS n FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY cell"))

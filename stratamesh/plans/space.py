@@ -63,14 +63,15 @@ def point_regions(spark: SparkSession, d: str) -> DataFrame:
     return P.points_in_polygons(p, C.polygons(spark, d), lon="lng").select("point_key", F.col("key").alias("region")).distinct()
 
 
-@query(sql("SELECT m.cell, coalesce((SELECT min(1600 + key % 150) FROM boxes b WHERE b.x0 <= lon AND lon < b.x1 AND b.y0 <= lat AND lat < b.y1), 0) AS year FROM mesh m"))
+@query(sql(f"SELECT m.cell, coalesce(min(1600 + b.key % 150), 0) AS year FROM mesh m LEFT JOIN boxes b ON {C.inside('m.lon', 'm.lat')} GROUP BY m.cell"))
 def earliest_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The earliest year of the polygons that hold a cell's centre, 0 where none does."""
     cells = C.newest_cells(spark, d).select("cell", "lon", "lat")
-    g = P.in_boxes(cells, C.boxes(spark, d)).groupBy("cell").agg(F.min(1600 + F.col("key") % 150).alias("year"))
+    g = P.points_in_polygons(cells, C.polygons(spark, d)).groupBy("cell").agg(F.min(1600 + F.col("key") % 150).alias("year"))
     return cells.select("cell").join(g, "cell", "left").select("cell", F.coalesce("year", F.lit(0)).alias("year"))
 
 
-@query(sql("SELECT m.cell, coalesce((SELECT min(CASE WHEN 1600 + key % 150 < 1650 THEN 0 WHEN 1600 + key % 150 < 1700 THEN 1 ELSE 2 END) FROM boxes b WHERE b.x0 <= lon AND lon < b.x1 AND b.y0 <= lat AND lat < b.y1), -1) AS band FROM mesh m"))
+@query(sql(f"SELECT m.cell, coalesce(min(CASE WHEN b.key IS NULL THEN NULL WHEN 1600 + b.key % 150 < 1650 THEN 0 WHEN 1600 + b.key % 150 < 1700 THEN 1 ELSE 2 END), -1) AS band FROM mesh m LEFT JOIN boxes b ON {C.inside('m.lon', 'm.lat')} GROUP BY m.cell"))
 def bands(spark: SparkSession, d: str) -> DataFrame:
     """Ordered difference of bands of years on cells: the first band that reaches a cell."""
     y = earliest_cover(spark, d)
@@ -133,13 +134,17 @@ def buffer_select(spark: SparkSession, d: str) -> DataFrame:
     return P.nearest(C.newest_cells(spark, d).select("cell", "lon", "lat"), big, point="cell", target="place_key", within=1.5).select("cell")
 
 
-@query(sql("""SELECT cell, key FROM (SELECT m.cell, b.key, row_number() OVER (PARTITION BY m.cell ORDER BY count(*) DESC, b.key) AS rn, count(*) AS n FROM mesh m, (VALUES (0.0, 0.0), (0.3, 0.0), (0.15, 0.15), (-0.15, 0.15), (-0.3, 0.0), (-0.15, -0.15), (0.15, -0.15)) s(dx, dy), boxes b
-  WHERE b.x0 <= lon + dx AND lon + dx < b.x1 AND b.y0 <= lat + dy AND lat + dy < b.y1 GROUP BY m.cell, b.key) WHERE rn = 1 AND 2 * n > 7""".replace("(VALUES (0.0, 0.0), (0.3, 0.0), (0.15, 0.15), (-0.15, 0.15), (-0.3, 0.0), (-0.15, -0.15), (0.15, -0.15)) s(dx, dy)", "(SELECT CAST(a AS DOUBLE) AS dx, CAST(b AS DOUBLE) AS dy FROM (VALUES (0.0, 0.0), (0.3, 0.0), (0.15, 0.15), (-0.15, 0.15), (-0.3, 0.0), (-0.15, -0.15), (0.15, -0.15)) v(a, b)) s")))
+_SAMPLES = [(0.0, 0.0), (0.3, 0.0), (0.15, 0.15), (-0.15, 0.15), (-0.3, 0.0), (-0.15, -0.15), (0.15, -0.15)]
+_SAMPLED = ", ".join(f"(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for x, y in _SAMPLES)
+
+
+@query(sql(f"""SELECT cell, key FROM (SELECT s.cell, b.key, row_number() OVER (PARTITION BY s.cell ORDER BY count(*) DESC, b.key) AS rn, count(*) AS n
+  FROM (SELECT cell, lon + dx AS x, lat + dy AS y FROM mesh, (VALUES {_SAMPLED}) v(dx, dy)) s JOIN boxes b ON {C.inside('s.x', 's.y')} GROUP BY s.cell, b.key) WHERE rn = 1 AND 2 * n > 7"""))
 def template_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Majority of seven samples of each cell (centre and towards the corners); none for half or less."""
-    samples = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0.0, 0.0), (0.3, 0.0), (0.15, 0.15), (-0.15, 0.15), (-0.3, 0.0), (-0.15, -0.15), (0.15, -0.15))]))
+    """Majority polygon of seven samples of each cell (centre and towards the corners); none for half or less."""
+    samples = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in _SAMPLES]))
     s = C.newest_cells(spark, d).select("cell", "lon", "lat", samples.alias("s")).select("cell", (F.col("lon") + F.col("s.dx")).alias("lon"), (F.col("lat") + F.col("s.dy")).alias("lat"))
-    n = P.in_boxes(s, C.boxes(spark, d)).groupBy("cell", "key").agg(F.count(F.lit(1)).alias("n"))
+    n = P.points_in_polygons(s, C.polygons(spark, d)).groupBy("cell", "key").agg(F.count(F.lit(1)).alias("n"))
     g = n.groupBy("cell").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("m"))
     return g.where(2 * F.col("m.n") > 7).select("cell", (-F.col("m.k")).alias("key"))
 
