@@ -53,9 +53,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "cell",
     return own.join(labels, "n", "left").select(F.col("n").alias(node), F.coalesce("to", "n").alias("component"))
 
 
-def hop_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def hop_distances(seeds: DataFrame, edges: DataFrame, enough: int | None = None) -> DataFrame:
     """node, seed, dist: nearest seed by edge weights (column ``w``, else 1), ties to the smaller seed. Frontier
-    relaxation until no node changes: each round only the nodes improved in the last one send."""
+    relaxation until no node changes, or until ``enough`` nodes are reached (for edges without weights, whose rings come one
+    by one): each round only the nodes improved in the last one send."""
     e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1))
     e = cut(e.select("u", "v", "w").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     best = cut(seeds.groupBy("node").agg(F.min(F.struct(F.col("dist").alias("dist"), F.col("seed").alias("seed"))).alias("b")))
@@ -64,7 +65,7 @@ def hop_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         sent = front.join(e, front["node"] == e["u"]).groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("b.dist") + F.col("w")).alias("dist"), F.col("b.seed").alias("seed"))).alias("s"))
         merged = cut(best.join(sent, "node", "full_outer").select("node", F.least("b", "s").alias("b"), (F.col("s").isNotNull() & (F.col("b").isNull() | (F.col("s") < F.col("b")))).alias("new")))
         front, best = merged.where("new").select("node", "b"), merged.select("node", "b")
-        if not front.limit(1).count():
+        if not front.limit(1).count() or (enough is not None and best.count() >= enough):
             break
     return best.select("node", "b.seed", "b.dist")
 

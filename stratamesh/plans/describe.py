@@ -35,11 +35,6 @@ def _sectors(spark: SparkSession, d: str) -> DataFrame:
 # --- scopes and cells -------------------------------------------------------------------------------------------
 
 
-@query(sql("SELECT cell, province FROM mesh WHERE province IN ('AB', 'SK', 'MB')"))
-def scope_mask(spark: SparkSession, d: str) -> DataFrame:
-    return C.mesh(spark, d).where(F.col("province").isin("AB", "SK", "MB")).select("cell", "province")
-
-
 _POLY = [(-130.0, 50.0), (-100.0, 46.0), (-80.0, 60.0), (-105.0, 75.0), (-128.0, 66.0)]
 _HOLE = [(-115.0, 58.0), (-105.0, 58.0), (-105.0, 64.0), (-115.0, 64.0)]
 

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from oracle import compare, connection  # noqa: E402
 
-MODULES = ["timeline", "describe", "space", "artefacts", "more"]
+MODULES = ["timeline", "describe", "space", "artefacts", "more", "further"]
 ALL = [(m, n) for m in MODULES for n in importlib.import_module(f"stratamesh.plans.{m}").QUERIES]
 
 

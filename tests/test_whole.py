@@ -1,6 +1,7 @@
 """Queries without SQL against brute force, on tables where a bound would show."""
 
 import datetime as dt
+import json
 import math
 import os
 import random
@@ -17,7 +18,7 @@ from oracle import compare, connection  # noqa: E402
 from stratamesh.operators import graph as G  # noqa: E402
 from stratamesh.operators.proximity import EARTH_KM  # noqa: E402
 from stratamesh.operators.hierarchy import _bucketed, ancestors, descendants, nested_sets  # noqa: E402
-from stratamesh.plans import problems, space, timeline  # noqa: E402
+from stratamesh.plans import further, problems, space, timeline  # noqa: E402
 
 T0 = dt.datetime(2024, 1, 1)
 CELLS = "cell bigint, id string, lon double, lat double, area double, province string, cd string, csd string, neighbours array<bigint>, mesh_version string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
@@ -141,3 +142,34 @@ def test_every_cell_of_the_mesh_has_a_component(spark, tmp_path):
     assert {x.cell: x.component for x in space.QUERIES["mesh_components"](spark, str(tmp_path)).collect()} == root
     sizes = {x.component: x.n_cells for x in space.QUERIES["mesh_component_sizes"](spark, str(tmp_path)).collect()}
     assert sizes == {c: list(root.values()).count(c) for c in set(root.values())} and len(sizes) > 5
+
+
+def test_nearest_cells_without_replacement(spark, sf):
+    got = [(x.place_key, x.cell) for x in further.QUERIES["nearest_capital_cells"](spark, sf).collect()]
+    cells = further.C.newest_cells(spark, sf).select("cell", "lon", "lat").collect()
+    used, want = set(), []
+    for p in further.C.places(spark, sf).orderBy(F.col("population").desc(), "place_key").limit(14).collect():
+        c = min((c for c in cells if c.cell not in used), key=lambda c: ((c.lon - p.lng) ** 2 + (c.lat - p.lat) ** 2, c.cell)).cell
+        used.add(c)
+        want.append((p.place_key, c))
+    assert got == want
+
+
+def test_trees_keep_null_children(spark):
+    rows = [(1, "0", "", "m", None), (1, "0.1", "0", "a", "x"), (1, "0.3", "0", None, None), (1, "0.3.0", "0.3", "b", "y\"}")]
+    packs = spark.createDataFrame(rows, "raw_id int, pack string, parent string, method string, pack_name string")
+    tree = json.loads(further.assemble(packs).first()["tree"])
+    assert tree["children"][0] is None and tree["children"][2] is None and len(tree["children"]) == 4
+    assert tree["children"][3]["children"][0]["meta"] == {"method": "b", "id": "y\"}"} and tree["meta"] == {"method": "m"}
+    assert further.assemble(packs.limit(0)).count() == 0
+
+
+def test_json_is_told_by_its_first_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\n"), (2, None), (3, "é")], "k int, v string")
+    further.write_json_gz(df, f"{tmp_path}/j")
+    for i, f in enumerate(p for p in os.listdir(f"{tmp_path}/j") if p.endswith(".gz")):
+        os.rename(f"{tmp_path}/j/{f}", f"{tmp_path}/j/part{i}")  # no extension tells
+    with open(f"{tmp_path}/j/plain.gz", "w", encoding="utf-8") as out:
+        out.write('\ufeff{"k": 4}\n\n')
+    got = sorted((x.k, x.v) for x in further.read_json(spark, f"{tmp_path}/j", "k int, v string").collect() if x.k)
+    assert got == [(1, "a\n"), (2, None), (3, "é"), (4, None)]
