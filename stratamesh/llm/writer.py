@@ -48,14 +48,14 @@ _OTHER = {
     "en": [
         "Mail {E} for a refund.", "You can reach me at {P} or {E}.", "Email: {E}", "fax {P}", "Phone {P} ({F} hours only)", "Text {P} if the {F} is late.", "My social insurance number: {S}", "SIN {S} on file for {N}.", "Passport no. {K}, holder {N}.", "Lost passport {K} near {C}.",
         "We live at {A} in {C}.", "Deliver to {A}, {C}, before {D}.", "Ship to: {N}, {A}, {C}", "Bill to {N}\n{A}\n{C}", "The shop is at {A}.", "Invoice {X} was paid on {D}.", "Order {X} weighs {H} kg.", "Serial number {X}.", "Version {X} is out since {D}.", "Reference {X}, total {Q} dollars.", "Turn left on {R} after {H} blocks.", "They won {H} to {H} on {R}.",
-        "{T} starts on {D}.", "Read the {T} before the {F}.", "{G} said the {F} is cold.", "{U} lost again.", "Do not miss {T}!", "Chapter {H}: {T}", "See you in {C} on {D}.", "About {Q} people came to {C}.", "It costs {Q}, not {Q}.", "In {G} the weather is fine.", "{F} {F} {C} {F}.", "{F} {C} {F} {F} {F}", "Tickets at {X} or from {O}.", "Follow @{F}_{F} for more.", "Rated {H} out of {H}.", "{N} <{E}>", "{N}, {P}", "Write to {N} at {E}.", "Our {F}, {N}, lives at {A}.", "{N} / {E} / {P}", "Passengers: {N}; {N}; {N}", "{N} ({O})", "{N} - {T}", "Was {N} there? No, {N} was.", "I saw {N}.", "{N}!", "Ask {N} or {N}.", "Account {X} of {O}.", "{H} {F} on the road.", "{H} {F} and the {F} court", "There are {H} {F} in every street.", "{H} {F} along the way", "{F} {H} shows the {F} road.", "Page {X} of the {F}.", "Sample {X} was {F}.", "Box {X} is {F}.", "{T} {X} {F}.", "Meeting at {H}:30 with {N} and {G}.",
+        "{T} starts on {D}.", "Read the {T} before the {F}.", "{G} said the {F} is cold.", "{U} lost again.", "Do not miss {T}!", "Chapter {H}: {T}", "See you in {C} on {D}.", "About {Q} people came to {C}.", "It costs {Q}, not {Q}.", "In {G} the weather is fine.", "{F} {F} {C} {F}.", "{F} {C} {F} {F} {F}", "Tickets at {X} or from {O}.", "Follow @{F}_{F} for more.", "Rated {H} out of {H}.", "{N} <{E}>", "{N}, {P}", "Write to {N} at {E}.", "Our {F}, {N}, lives at {A}.", "{N} / {E} / {P}", "Passengers: {N}; {N}; {N}", "{N} ({O})", "{N} - {T}", "Was {N} there? No, {N} was.", "I saw {N}.", "{N}!", "Ask {N} or {N}.", "Account {X} of {O}.", "There are {H} {F} in every street.", "{H} {F} along the way", "Page {X} of the {F}.", "Sample {X} was {F}.", "Box {X} is {F}.", "{T} {X} {F}.", "Meeting at {H}:30 with {N} and {G}.",
     ],
     "fr": [
         "Écrivez à {E} pour un remboursement.", "Joignez-moi au {P} ou à {E}.", "Courriel : {E}", "Tél. : {P}", "Mon numéro d'assurance sociale : {S}", "NAS {S} de {N}.", "Passeport no {K}, titulaire {N}.", "Passeport perdu : {K}.", "Nous habitons {A} à {C}.", "Livrer au {A}, {C}, avant le {D}.", "Destinataire : {N}, {A}, {C}", "Le magasin est situé {A}.",
-        "Facture {X} payée le {D}.", "Commande {X}, total {Q} euros.", "Numéro de série {X}.", "Boîte {X}, {H} {F}.", "{T} {X} {F}.", "Il y a {H} {F} sur la route.", "Tournez à gauche rue {C}.", "{T} commence le {D}.", "{G} dit que le {F} est froid.", "{U} a encore perdu.", "Chapitre {H} : {T}", "Environ {Q} personnes sont venues à {C}.", "{F} {C} {F} {F}.", "{N} <{E}>", "{N}, {P}", "Notre {F}, {N}, habite {A}.", "Passagers : {N} ; {N}", "J'ai vu {N}.", "« {N} est là ? »", "Ça coûte {Q}, pas {Q}.", "L'{F} de {C} ouvre le {D}.",
+        "Facture {X} payée le {D}.", "Commande {X}, total {Q} euros.", "Numéro de série {X}.", "Boîte {X}, {H} {F}.", "{T} {X} {F}.",  "Tournez à gauche rue {C}.", "{T} commence le {D}.", "{G} dit que le {F} est froid.", "{U} a encore perdu.", "Chapitre {H} : {T}", "Environ {Q} personnes sont venues à {C}.", "{F} {C} {F} {F}.", "{N} <{E}>", "{N}, {P}", "Notre {F}, {N}, habite {A}.", "Passagers : {N} ; {N}", "J'ai vu {N}.", "« {N} est là ? »", "Ça coûte {Q}, pas {Q}.", "L'{F} de {C} ouvre le {D}.",
     ],
     "de": [
-        "Mailen Sie an {E}.", "Sie erreichen mich unter {P} oder {E}.", "E-Mail: {E}", "Tel.: {P}", "Sozialversicherungsnummer: {S}", "Reisepass Nr. {K}, Inhaber {N}.", "Verlorener Reisepass: {K}.", "Wir wohnen {A} in {C}.", "Lieferung an {N}, {A}, {C}", "Der Laden ist in der {A}.", "Rechnung {X} vom {D}.", "Bestellung {X}, Summe {Q} Euro.", "Seriennummer {X}.", "Karton {X} ist da.", "Nach dem {F} der {F}.", "Der Verein baute nach dem Regen den Schuppen.", "Die Firma verkauft seit Mai das Gebäude.", "{T} {X} {F}.",
+        "Mailen Sie an {E}.", "Sie erreichen mich unter {P} oder {E}.", "E-Mail: {E}", "Tel.: {P}", "Sozialversicherungsnummer: {S}", "Reisepass Nr. {K}, Inhaber {N}.", "Verlorener Reisepass: {K}.", "Wir wohnen {A} in {C}.", "Lieferung an {N}, {A}, {C}", "Der Laden ist in der {A}.", "Rechnung {X} vom {D}.", "Bestellung {X}, Summe {Q} Euro.", "Seriennummer {X}.", "Karton {X} ist da.", "Die Firma verkauft seit Mai das Gebäude.", "{T} {X} {F}.",
         "{T} beginnt am {D}.", "{G} sagt, der {F} ist kalt.", "{U} hat wieder verloren.", "Kapitel {H}: {T}", "Etwa {Q} Leute kamen nach {C}.", "{F} {C} {F}.", "{N} <{E}>", "{N}, {P}", "Unsere {F}, {N}, wohnt {A}.", "Gäste: {N}; {N}", "Ich habe {N} gesehen.", "Das kostet {Q}, nicht {Q}.", "Die Alte Schule in {C} ist zu.", "Der {F} liegt auf dem {F}.", "Am {D} ist die {F} in {C} zu.", "Im {F} von {C} steht ein {F}.", "Die {F} der {O} ist neu.",
     ],
     "ru": [
