@@ -11,7 +11,7 @@ def crowd(spark, n, seed):
     rng = random.Random(seed)
     pts = [(i, rng.random(), rng.random()) for i in range(n)]
     tgt = [(i, rng.random(), rng.random()) for i in range(n)]
-    brute = {i: min(((x - a) ** 2 + (y - b) ** 2, t) for t, a, b in tgt) for i, x, y in pts}
+    brute = {i: min(((x - a) * (x - a) + (y - b) * (y - b), t) for t, a, b in tgt) for i, x, y in pts}
     return spark.createDataFrame(pts, POINTS), spark.createDataFrame(tgt, TARGETS), brute
 
 
@@ -22,3 +22,10 @@ def test_no_step_sorts_the_pairs(spark, monkeypatch):
     got = P.nearest(p, t, point="p", target="t").collect()
     assert {r.p: r.t for r in got} == {i: v[1] for i, v in brute.items()}
     assert plans and not any("SortAggregate" in x for x in plans)
+
+
+def test_buckets_shrink_to_what_they_hold(spark):
+    p, t, brute = crowd(spark, 2000, 2)
+    assert P._fitting(p, t, 2.0, [], ("lon", "lat"), ("tlon", "tlat")) < 0.1
+    got = P.nearest(p, t, point="p", target="t", within=2.0).collect()
+    assert {r.p: (r.deg2, r.t) for r in got} == brute
