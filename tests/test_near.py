@@ -29,3 +29,9 @@ def test_buckets_shrink_to_what_they_hold(spark):
     assert P._fitting(p, t, 2.0, [], ("lon", "lat"), ("tlon", "tlat")) < 0.1
     got = P.nearest(p, t, point="p", target="t", within=2.0).collect()
     assert {r.p: (r.deg2, r.t) for r in got} == brute
+
+
+def test_a_distance_of_just_within_counts(spark):
+    p = spark.createDataFrame([(1, -1e-17, 0.0), (2, -0.3, 0.0)], POINTS)
+    t = spark.createDataFrame([(7, 0.3, 0.0)], TARGETS)
+    assert [(r.p, r.t) for r in P.nearest(p, t, point="p", target="t", within=0.3).collect()] == [(1, 7)]
