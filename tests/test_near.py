@@ -35,3 +35,13 @@ def test_a_distance_of_just_within_counts(spark):
     p = spark.createDataFrame([(1, -1e-17, 0.0), (2, -0.3, 0.0)], POINTS)
     t = spark.createDataFrame([(7, 0.3, 0.0)], TARGETS)
     assert [(r.p, r.t) for r in P.nearest(p, t, point="p", target="t", within=0.3).collect()] == [(1, 7)]
+
+
+def test_targets_of_one_position_count_once(spark, monkeypatch):
+    p = spark.createDataFrame([(1, 0.1, 0.1), (2, 3.0, 3.0)], POINTS)
+    t = spark.createDataFrame([(i, 0.2, 0.2) for i in range(900, 0, -1)], TARGETS)
+    seen = []
+    fit = P._fitting
+    monkeypatch.setattr(P, "_fitting", lambda a, b, *rest: (seen.append(b.count()), fit(a, b, *rest))[1])
+    assert [(r.p, r.t) for r in P.nearest(p, t, point="p", target="t", within=0.5).collect()] == [(1, 1)]
+    assert seen == [1]
