@@ -58,7 +58,7 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
 def region_at(spark: SparkSession, d: str) -> DataFrame:
     """The first region whose polygon holds a place, -1 if none."""
     p = C.places(spark, d).select("place_key", "lng", "lat")
-    g = P.points_in_polygons(p, C.polygons(spark, d), lon="lng").groupBy("place_key").agg(F.min("key").alias("key"))
+    g = P.first_polygons(p, C.polygons(spark, d), point="place_key", lon="lng").groupBy("place_key").agg(F.min("key").alias("key"))
     return p.select("place_key").distinct().join(g, "place_key", "left").select("place_key", F.coalesce("key", F.lit(-1)).alias("region"))
 
 

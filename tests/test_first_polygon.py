@@ -22,3 +22,10 @@ def test_smallest_key_without_pairs(spark):
     for rows in (20_000, 3):
         got = P.first_polygons(points, polygons, point="cell", max_rows=rows).collect()
         assert {r.cell: r.key for r in got} == want and len(got) == len(want) and {r.n for r in got} == {1}
+
+
+def test_every_row_of_a_point_has_its_answer(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 5.5, 0.5), (1, 9.0, 9.0)], "place_key bigint, lng double, lat double")
+    square = lambda x: [[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]]
+    polygons = spark.createDataFrame([(3, square(0.0)), (2, square(5.0))], "key bigint, rings array<array<struct<x:double,y:double>>>")
+    assert sorted(r.key for r in P.first_polygons(points, polygons, point="place_key", lon="lng").collect()) == [2, 3]
