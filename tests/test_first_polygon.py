@@ -29,3 +29,12 @@ def test_every_row_of_a_point_has_its_answer(spark):
     square = lambda x: [[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]]
     polygons = spark.createDataFrame([(3, square(0.0)), (2, square(5.0))], "key bigint, rings array<array<struct<x:double,y:double>>>")
     assert sorted(r.key for r in P.first_polygons(points, polygons, point="place_key", lon="lng").collect()) == [2, 3]
+
+
+def test_keys_need_not_be_unique(spark):
+    points, polygons = case(spark, 6)
+    want = {}
+    for r in P.points_in_polygons(points, polygons).collect():
+        want[r.cell] = min(1600 + r.key % 7, want.get(r.cell, 9999))
+    years = polygons.selectExpr("1600 + key % 7 AS year", "rings")
+    assert {r.cell: r.year for r in P.first_polygons(points, years, point="cell", key="year").collect()} == want
