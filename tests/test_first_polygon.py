@@ -38,3 +38,9 @@ def test_keys_need_not_be_unique(spark):
         want[r.cell] = min(1600 + r.key % 7, want.get(r.cell, 9999))
     years = polygons.selectExpr("1600 + key % 7 AS year", "rings")
     assert {r.cell: r.year for r in P.first_polygons(points, years, point="cell", key="year").collect()} == want
+
+
+def test_bands_shuffle_no_pairs(spark, sf):
+    from stratamesh.plans import space
+
+    assert "CoGroupsInArrow" in space.QUERIES["bands"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
