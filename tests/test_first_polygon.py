@@ -44,3 +44,14 @@ def test_bands_shuffle_no_pairs(spark, sf):
     from stratamesh.plans import space
 
     assert "CoGroupsInArrow" in space.QUERIES["bands"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_most_samples_then_the_smallest_key(spark):
+    points, polygons = case(spark, 5)
+    samples = ((0.0, 0.0), (0.3, 0.0), (-0.3, 0.1), (0.0, -0.2))
+    rows = [(r.cell, r.lon + a, r.lat + b) for r in points.where("lon IS NOT NULL").collect() for a, b in samples]
+    n = Counter((r.cell, r.key) for r in P.points_in_polygons(spark.createDataFrame(rows, "cell bigint, lon double, lat double"), polygons).collect())
+    want = {}
+    for (cell, key), k in n.items():
+        want[cell] = max(want.get(cell, (0, 0)), (k, -key))
+    assert {r.cell: (r.n, -r.key) for r in P.first_polygons(points, polygons, point="cell", samples=samples).collect()} == want
