@@ -183,21 +183,37 @@ def _mend(s: Scope, region: np.ndarray) -> np.ndarray:
 
 
 def _keeps(s: Scope, region: np.ndarray, u: int) -> bool:
-    """Whether the region of ``u`` stays in one piece without it."""
-    r = region[u]
-    mine = [v for v in s.near[u] if region[v] == r]
+    """Whether the region of ``u`` stays in one piece without it. Searches from its neighbours take turns, so that a small
+    piece is walked once and a large one no farther; searches that meet go on as one."""
+    r, near = region[u], s.near
+    mine = [v for v in near[u] if region[v] == r]
     if len(mine) <= 1:
         return bool(mine)
-    want, seen, queue = set(mine[1:]), {u, mine[0]}, [mine[0]]
-    for x in queue:  # outward, as the other neighbours are mostly near
-        for v in s.near[x]:
-            if v not in seen and region[v] == r:
-                seen.add(v)
-                want.discard(v)
-                queue.append(v)
-        if not want:
-            break
-    return not want
+    by = {v: k for k, v in enumerate(mine)}
+    by[u] = -1
+    root, queues, heads = list(range(len(mine))), [[v] for v in mine], [0] * len(mine)
+    open_ = list(root)
+    while True:
+        for k in list(open_):
+            if root[k] != k:
+                continue
+            if heads[k] == len(queues[k]):
+                return False
+            x = queues[k][heads[k]]
+            heads[k] += 1
+            for v in near[x]:
+                if region[v] == r:
+                    j = by.get(v)
+                    if j is None:
+                        by[v] = k
+                        queues[k].append(v)
+                    elif j >= 0 and root[j] != k:
+                        j = root[j]
+                        queues[k] += queues[j][heads[j] :]
+                        root = [k if i == j else i for i in root]
+                        open_.remove(j)
+                        if len(open_) == 1:
+                            return True
 
 
 def _anneal(s: Scope, region: np.ndarray, k: int, rng: Mulberry32, moves: int, plateau: int) -> np.ndarray:

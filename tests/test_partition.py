@@ -91,3 +91,19 @@ def test_empty_and_tiny():
     g = grid(6, 6)
     assert len(solve(g.head(0), n=3, method="balanced", seed=1)) == 0
     assert solve(g.head(1), n=3, method="balanced", seed=1)["region"].tolist() == [0]
+
+
+def test_a_cut_off_cell_is_found_without_walking_its_region():
+    from stratamesh.operators.partition import _keeps
+
+    class Counting(list):
+        read = 0
+
+        def __getitem__(self, k):
+            Counting.read += 1
+            return super().__getitem__(k)
+
+    s = Scope(grid(60, 60, holes={1, 61}), {})  # cell 0 hangs on the cell above it only; 60 there has 120 as other neighbour
+    s.near = Counting(s.near)
+    at = {int(v): k for k, v in enumerate(s.ids)}
+    assert not _keeps(s, np.zeros(len(s.ids), np.int64), at[60]) and Counting.read < 20
