@@ -45,3 +45,18 @@ def test_targets_of_one_position_count_once(spark, monkeypatch):
     monkeypatch.setattr(P, "_fitting", lambda a, b, *rest: (seen.append(b.count()), fit(a, b, *rest))[1])
     assert [(r.p, r.t) for r in P.nearest(p, t, point="p", target="t", within=0.5).collect()] == [(1, 1)]
     assert seen == [1]
+
+
+def test_carried_columns_and_salted_tiles(spark):
+    p, t, brute = crowd(spark, 600, 3)
+    named = t.selectExpr("*", "concat('n', t) AS name")
+    for more in ({}, {"once": True}, {"max_rows": 50}, {"max_targets": 60}, {"start": 0.01, "a_tile": 8, "max_rows": 7, "max_targets": 5}):
+        got = P.nearest(p, named, point="p", target="t", carry=("name",), **more).collect()
+        assert len(got) == 600 and {r.p: (r.deg2, r.t) for r in got} == brute and all(r.name == f"n{r.t}" for r in got)
+
+
+def test_nearest_place_shuffles_no_pairs(spark, sf):
+    from stratamesh.plans import space
+
+    plan = space.QUERIES["nearest_place"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
