@@ -60,3 +60,20 @@ def test_nearest_place_shuffles_no_pairs(spark, sf):
 
     plan = space.QUERIES["nearest_place"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroupsInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_points_without_a_target_stay(spark):
+    p = spark.createDataFrame([(1, 0.1, 0.1), (2, 9.0, 9.0), (3, None, 1.0), (4, float("nan"), 1.0)], POINTS)
+    t = spark.createDataFrame([(7, 0.2, 0.1), (6, 0.2, 0.1), (5, None, 1.0), (4, float("nan"), 1.0)], TARGETS)
+    for once in (True, False):
+        got = P.nearest(p, t, point="p", target="t", within=0.3, once=once, outer=True).collect()
+        assert sorted((r.p, r.t) for r in got) == [(1, 6), (2, None), (3, None), (4, None)]
+    none = P.nearest(p, t.where("t < 0"), point="p", target="t", outer=True).collect()
+    assert sorted((r.p, r.t) for r in none) == [(k, None) for k in (1, 2, 3, 4)]
+
+
+def test_refit_assignment_shuffles_no_pairs(spark, sf):
+    from stratamesh.plans import space
+
+    plan = space.QUERIES["refit_assignment"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
