@@ -77,3 +77,17 @@ def test_refit_assignment_shuffles_no_pairs(spark, sf):
 
     plan = space.QUERIES["refit_assignment"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroupsInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_point_at_several_positions(spark):
+    p = spark.createDataFrame([(1, 0.1, 0.1), (1, 5.0, 5.0), (2, 5.3, 5.0), (2, 5.3, 5.0)], POINTS)
+    t = spark.createDataFrame([(7, 0.4, 0.1), (8, 5.1, 5.0)], TARGETS)
+    for more in ({}, {"start": 0.15}, {"within": 0.5}):
+        assert sorted((r.p, r.t) for r in P.nearest(p, t, point="p", target="t", **more).collect()) == [(1, 8), (2, 8)]
+
+
+def test_cell_locator_shuffles_no_pairs(spark, sf):
+    from stratamesh.plans import space
+
+    plan = space.QUERIES["cell_locator"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "Join" not in plan
