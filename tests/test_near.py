@@ -91,3 +91,35 @@ def test_cell_locator_shuffles_no_pairs(spark, sf):
 
     plan = space.QUERIES["cell_locator"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_cell_locator_moves_few_cells_twice(spark, sf, monkeypatch):
+    from stratamesh.plans import carrier, space
+
+    tiles, written, count, write = [], [], P.hot_groups, P.cut
+    monkeypatch.setattr(P, "hot_groups", lambda df, *rest: tiles.append(df.count()) or count(df, *rest))
+    monkeypatch.setattr(P, "cut", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    space.QUERIES["cell_locator"](spark, sf).collect()
+    assert tiles[0] < 1.5 * carrier.newest_cells(spark, sf).count()
+    assert "Aggregate" not in written[0]
+
+
+def test_tiles_of_any_sides_find_the_same(spark):
+    p, t, brute = crowd(spark, 500, 4)
+    inside = {i: v for i, v in brute.items() if v[0] <= 0.02 * 0.02}
+    assert 0 < len(inside) < 500
+    for more in ({"sides": 16}, {"sides": 16, "a_tile": 8}, {"sides": 3, "a_tile": 1, "max_rows": 9, "max_targets": 7}):
+        got = P.nearest(p, t, point="p", target="t", within=0.02, **more).collect()
+        assert len(got) == len(inside) and {r.p: (r.deg2, r.t) for r in got} == inside
+
+
+def test_repeated_places_count_once(spark, tmp_path):
+    import datetime
+
+    from stratamesh.plans import space
+
+    at = datetime.datetime(2020, 1, 1)
+    spark.createDataFrame([(1, "a", 5.0, 5.0, 1.0, at, None), (2, "b", 5.0, 5.0, 1.0, at, None), (3, "c", 5.4, 5.0, 1.0, at, None)], "cell long, id string, lon double, lat double, area double, loaded_at timestamp, deleted_at timestamp").write.parquet(f"{tmp_path}/cells.parquet")
+    places = [(7, 5.1, 5.0, 1), (7, 5.1, 5.0, 1), (7, 5.1, 5.0, 2), (8, 5.3, 5.0, -1), (9, 5.3, 5.0, None), (10, 6.0, 5.0, 1), (11, 5.8, 5.0, 1)]
+    spark.createDataFrame(places, "place_key long, lng double, lat double, cell long").write.parquet(f"{tmp_path}/places.parquet")
+    assert sorted(map(tuple, space.QUERIES["cell_locator"](spark, str(tmp_path)).collect())) == [(7, 1), (11, 3)]
